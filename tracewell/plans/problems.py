@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.hierarchy import descendants, resolve_hierarchy
 from tracewell.operators.references import orphan_references, references, targets
+from tracewell.operators.units import close_pairs, unit_prices
 from tracewell.sources import table
 
 CHILD = ["superseded_namespace", "superseded_record_key"]
@@ -47,6 +48,16 @@ def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Won per base unit of every listing with a convertible price."""
+    listings = table(spark, sf_dir, "material_knowledge_metadata").dropDuplicates(["listing_id"])
+    return unit_prices(listings, table(spark, sf_dir, "exchange_rates"), ["listing_id", "catalog_id", "item_code"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return close_pairs(p2_prices(spark, sf_dir), "listing_id", ["catalog_id", "item_code", "base"], "won_per_base", 0.5)
+
+
 def p4_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failing references by table, target key and month, with how many fail and why."""
     records = targets(table(spark, sf_dir, "decision_records"), ["decision_namespace", "record_key"], "recorded_at", "deleted_at")
@@ -75,7 +86,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_orphans(spark, sf_dir).select("ref_table", "ref_namespace", "ref_key", "ref_month")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p4_found, p4_orphans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_prices, p4_found, p4_orphans)}
 
 # Chains and cycles by recursion; text order of VARCHAR in DuckDB is byte order.
 _EDGES = """
