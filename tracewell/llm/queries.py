@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.encode import decode_ids, encode_corpus
+from tracewell.llm.listings import product_keys, same_product_pairs
 from tracewell.llm.lookalikes import consistent_forms
 from tracewell.llm.split import split_items
 from tracewell.sources import table
@@ -22,6 +23,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(chunks, "text", ["collection", "chunk_id", "clause"], oversized_only=True)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_product_pairs(product_keys(table(spark, sf_dir, "material_knowledge_metadata")))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every decided listing with its product's key."""
+    return product_keys(table(spark, sf_dir, "material_knowledge_metadata")).select("listing_id", "product")
+
+
 def _forms(spark: SparkSession, sf_dir: str, forms: bool) -> DataFrame:
     catalogue, chunks = "material_knowledge_metadata", "kec_chunks"
     return consistent_forms(table(spark, sf_dir, catalogue), catalogue, "listing_id", ["name", "specification"], forms).unionByName(
@@ -51,7 +61,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", decode_ids("ids").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_forms, p8_ids, p8_roundtrip)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_forms, p8_ids, p8_roundtrip)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
