@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.encode import decode_ids, encode_corpus
 from tracewell.llm.listings import product_keys, same_product_pairs
 from tracewell.llm.lookalikes import consistent_forms
+from tracewell.llm.neighbours import mutual_pairs, nearest_neighbours
 from tracewell.llm.split import split_items
 from tracewell.sources import table
 
@@ -32,6 +33,15 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_keys(table(spark, sf_dir, "material_knowledge_metadata")).select("listing_id", "product")
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar chunks of the same collection, of every chunk."""
+    return nearest_neighbours(table(spark, sf_dir, "kec_chunks"), "chunk_seq", "collection", "embedding")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutual_pairs(p6_neighbours(spark, sf_dir), "chunk_seq")
+
+
 def _forms(spark: SparkSession, sf_dir: str, forms: bool) -> DataFrame:
     catalogue, chunks = "material_knowledge_metadata", "kec_chunks"
     return consistent_forms(table(spark, sf_dir, catalogue), catalogue, "listing_id", ["name", "specification"], forms).unionByName(
@@ -61,7 +71,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", decode_ids("ids").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_forms, p8_ids, p8_roundtrip)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_forms, p8_ids, p8_roundtrip)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
