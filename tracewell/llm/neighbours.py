@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut
 
-SAMPLE, PROBES, LEAF, BRANCH, BLOCK, COPIES = 65_536, 512, 1024, 16, 4096, 32
-RECALL = 0.995
+SAMPLE, PROBES, LEAF, BRANCH, BLOCK, COPIES = 65_536, 512, 2048, 128, 8192, 32
+RECALL = 0.99
 
 
 @dataclass
@@ -282,23 +282,34 @@ def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: i
                 seen = visit(tree, unit[mine], visits)
                 parts = tree.blocks[seen[:, 0]]
                 home = ids[mine] % parts
-                at, leaf, part, asks, stored = [mine], [seen[:, 0]], [home], [np.ones(len(mine), bool)], [np.ones(len(mine), bool)]
+                at, leaf, part, stored = [mine], [seen[:, 0]], [home], [np.ones(len(mine), bool)]
                 for v in range(seen.shape[1]):
                     many = np.where(seen[:, v] >= 0, tree.blocks[np.maximum(seen[:, v], 0)], 0)
                     for b in range(int(many.max()) if len(many) else 0):
                         go = (many > b) & ~((v == 0) & (home == b))
                         at.append(mine[go]), leaf.append(seen[go, v]), part.append(np.full(go.sum(), b))
-                        asks.append(np.ones(go.sum(), bool)), stored.append(np.zeros(go.sum(), bool))
-                at = np.concatenate(at)
-                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim)
-                vec = pa.ListArray.from_arrays(offsets, pa.array(raw[at].ravel()))
-                arrays = [pa.array([g] * len(at)), pa.array(np.concatenate(leaf)), pa.array(np.concatenate(part).astype(np.int64)), pa.array(ids[at]), pa.array(np.concatenate(stored)), vec]
-                yield pa.RecordBatch.from_arrays(arrays, ["grp", "leaf", "part", "id", "stored", "vec"])
+                        stored.append(np.zeros(go.sum(), bool))
+                at, leaf, part = np.concatenate(at), np.concatenate(leaf), np.concatenate(part)
+                asks_only = ~np.concatenate(stored)
+                # One packed row for each block and role: no cost a row in the shuffle.
+                order = np.lexsort((asks_only, part, leaf))
+                at, leaf, part, asks_only = at[order], leaf[order], part[order], asks_only[order]
+                starts = np.flatnonzero((np.diff(leaf, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0) | (np.diff(asks_only.astype(int), prepend=-1) != 0))
+                packs = [at[a:b] for a, b in zip(starts, [*starts[1:], len(at)])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([g] * len(packs)), pa.array(leaf[starts]), pa.array(part[starts].astype(np.int64)), pa.array(~asks_only[starts]),
+                        pa.array([ids[i].astype(np.int64).tobytes() for i in packs], pa.binary()), pa.array([raw[i].tobytes() for i in packs], pa.binary()),
+                    ],
+                    ["grp", "leaf", "part", "stored", "ids", "vecs"],
+                )
 
     def within(table: pa.Table) -> pa.Table:
         """The k best stored rows of one block for each of its queries."""
-        ids, stored = table.column("id").to_numpy(), table.column("stored").to_numpy()
-        x = _matrix(table.column("vec"), dim)
+        packs = [np.frombuffer(b, np.int64) for b in table.column("ids").to_pylist()]
+        stored = np.repeat(table.column("stored").to_numpy(), [len(p) for p in packs])
+        ids = np.concatenate(packs)
+        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(-1, dim)
         unit = _unit(x)
         base, first = np.flatnonzero(stored), None
         base = base[np.argsort(ids[base], kind="stable")]
@@ -325,7 +336,7 @@ def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: i
         cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
         return pa.table([cat(out_q, pa.int64()), cat(out_n, pa.int64()), cat(out_s, pa.float64())], ["id", "neighbour", "similarity"])
 
-    spread = rows.mapInArrow(scatter, "grp string, leaf long, part long, id long, stored boolean, vec array<float>")
+    spread = rows.mapInArrow(scatter, "grp string, leaf long, part long, stored boolean, ids binary, vecs binary")
     local = spread.groupBy("grp", "leaf", "part").applyInArrow(within, "id long, neighbour long, similarity double")
     # At most visits x blocks x k candidates an id; the ids of a row meet in one small list.
     ranked = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k)
