@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.encode import decode_ids, encode_corpus
+from tracewell.llm.encode import count_tokens, decode_ids, encode_corpus
 from tracewell.llm.listings import product_keys, same_product_pairs
 from tracewell.llm.lookalikes import consistent_forms
 from tracewell.llm.neighbours import mutual_pairs, nearest_neighbours
+from tracewell.llm.packing import fill_containers
 from tracewell.llm.split import split_items
+from tracewell.llm.subjects import document_subjects, sentence_subjects
 from tracewell.sources import table
 
 
@@ -71,7 +73,29 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", decode_ids("ids").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_forms, p8_ids, p8_roundtrip)}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with text in containers of 2,048 tokens: one row for each container it lies in."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", count_tokens("text").alias("n_tokens"))
+    return fill_containers(docs, "doc_id", "n_tokens")
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least number possible, and the share of their space that is used."""
+    fills = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("size").alias("fill"))
+    used = fills.agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"))
+    return used.select("containers", F.ceil(F.col("tokens") / 2048).alias("least_possible"), (F.col("tokens") / (F.col("containers") * 2048)).alias("used_share"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences of each document treat each subject, and any."""
+    return sentence_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
