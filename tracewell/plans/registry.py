@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import problems
+from tracewell.plans import problems, retrieval
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **retrieval.QUERIES}
+SQL = {**problems.SQL, **retrieval.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, sf_dir)
+    return QUERIES["lexical_search"](spark, sf_dir)
