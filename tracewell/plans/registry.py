@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import problems, retrieval
+from tracewell.plans import problems, records, retrieval
 
-QUERIES = {**problems.QUERIES, **retrieval.QUERIES}
-SQL = {**problems.SQL, **retrieval.SQL}
+QUERIES = {**problems.QUERIES, **retrieval.QUERIES, **records.QUERIES}
+SQL = {**problems.SQL, **retrieval.SQL, **records.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
