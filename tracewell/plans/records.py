@@ -217,9 +217,9 @@ def positional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part whose price is nearest to a customer's balance, within 0.5; ties leave none."""
+    """The part whose price is nearest to a customer's balance, within 0.5, and how many tie for it."""
     near = spatial.nearest_in_band(table(spark, sf_dir, "customer"), table(spark, sf_dir, "part"), "c_custkey", "c_acctbal", "p_partkey", "p_retailprice", 0.5)
-    return near.where("n_ties = 1").select("c_custkey", "p_partkey")
+    return near.select("c_custkey", "p_partkey", "n_ties")
 
 
 def page_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +415,7 @@ SELECT *, CASE WHEN confidence < 0.6 THEN 'EXCLUDED' WHEN confidence < 0.8 THEN
 k AS (SELECT text, n, 'duplicate-' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 6, '0') AS group_id FROM g) SELECT doc_id, group_id, n FROM documents JOIN k USING (text)""",
     "positional_ids": "SELECT o_orderkey, 'text-item-' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS item_id FROM orders",
     "nearest_band_join": """WITH j AS (SELECT c_custkey, p_partkey, abs(c_acctbal - p_retailprice) AS d FROM customer JOIN part ON abs(c_acctbal - p_retailprice) <= 0.5),
-k AS (SELECT *, min(d) OVER (PARTITION BY c_custkey) AS m FROM j) SELECT c_custkey, min(p_partkey) AS p_partkey FROM k WHERE d - m <= 0.001 GROUP BY 1 HAVING count(*) = 1""",
+k AS (SELECT *, min(d) OVER (PARTITION BY c_custkey) AS m FROM j) SELECT c_custkey, arg_min(p_partkey, struct_pack(a := d, b := p_partkey)) AS p_partkey, count(*) AS n_ties FROM k WHERE d - m <= 0.001 GROUP BY 1""",
     "page_map_join": "SELECT catalog_id, item_code, count(DISTINCT listing_id) AS n, CASE WHEN count(DISTINCT listing_id) = 1 THEN min(listing_id) END AS listing_id FROM material_knowledge_metadata GROUP BY 1, 2",
     "duplicate_items": """WITH d AS (SELECT DISTINCT catalog_id, item_code, listing_id FROM material_knowledge_metadata)
 SELECT catalog_id, item_code, string_agg(CAST(listing_id AS VARCHAR), ',' ORDER BY listing_id) AS listing_ids FROM d GROUP BY 1, 2 HAVING count(*) > 1""",
