@@ -1,0 +1,52 @@
+from tracewell.llm.attributes import read_attributes
+from tracewell.llm.listings import product_keys, read_listing, romanised, same_product_pairs
+from tracewell.llm.subjects import document_subjects, sentences
+
+L = "listing_id long, name string, manufacturer string, model string, specification string, product string"
+ROWS = [
+    (1, "Vektron MCCB JBW42-D061 250A", "Vektron", "JBW42-D061", "25kA 4P"),
+    (2, "차단기 Garajidi 250 Amp", "(주)Vektron", "JBW42D061", "차단용량 25㎄ | 4극"),
+    (3, "Ｖektron Garajidi 4-pole breaker", "Vektron Co., Ltd.", None, "Icu 25 kA; 250AT; replaces JBW42-A015"),
+    (4, "가라지디 MCCB", None, "N/A", "4P 25kA 250A"),
+    (5, "MCCB JBW42-A015", "Vektron", "JBW42-A015", "20A 35kA 4P"),
+    (6, "MCCB NEW 50 kA", "Ostrikel", "QRS11-B020", "50kA 2P 20A"),
+    (7, "something else", None, None, None),
+    (8, None, None, None, None),
+]
+
+
+def test_groups(spark):
+    df = spark.createDataFrame([(*r, "clash") for r in ROWS + ROWS[:2]], L)
+    keys = product_keys(df)
+    got = {(r[0], r[1]) for r in same_product_pairs(keys).collect()}
+    assert got == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a < b}
+    assert {r[0] for r in same_product_pairs(product_keys(df, shard=2)).collect()} == {1, 2, 3}
+    assert product_keys(df.limit(0)).count() == 0
+
+
+def test_reading():
+    assert read_attributes("w300 h100 steel") == {"size": "300x100", "material": "steel"} and read_attributes("30x10 cm")["size"] == "300x100"
+    assert read_attributes("0.6 kv 4c 185 sq") == {"volt": "600", "cores": "4", "area_mm2": "185"}
+    assert read_attributes("black | white") == {}
+    assert read_attributes("φ16 hole, ip65, 사용온도 -20~70 °c, r ≤ 10 ω") == {}
+    assert romanised("가라지디") == "garajidi" and romanised("접지") is None
+    assert read_listing(None, None, None, None)[0] is None
+
+
+def test_subjects(spark):
+    en = {"grounding": ["earth electrode", "ground rod", "down conductor"], "lighting": ["corridor lamp", "task luminaire", "exit light"], "fire_protection": ["smoke detector", "sprinkler head", "flame barrier"]}
+    said = {"grounding": "carry the fault current", "lighting": "keep glare under the limit", "fire_protection": "withstand flame and smoke"}
+    rows = []
+    for i in range(240):
+        s = sorted(en)[i % 3]
+        own = [f"The {en[s][j % 3]} shall {said[s] if j % 2 else 'be checked again'} on level {j}." for j in range(5)]
+        rows.append((i, " ".join([*own, "Figures are rounded.", "The author will send a copy."]), "clash"))
+    rows += [(900, None, ""), (901, "", ""), (902, "  ", ""), (903, "Figures are rounded. The author will send a copy.", ""), rows[0]]
+    got = {(r[0], r[1]) for r in document_subjects(spark.createDataFrame(rows, "id long, text string, subject string"), "id", "text", topics=12, iterations=30).collect()}
+    want = {(i, sorted(en)[i % 3]) for i in range(240)}
+    assert len(got & want) >= 235 and len(got - want) <= 10
+    assert document_subjects(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_sentences():
+    assert len(sentences("No. 3: the lamp, e.g. in room 3.5, is lit. 접지한다. 5층 조도는 유지한다.\nSecond (qty. 4) line")) == 4
