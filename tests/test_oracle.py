@@ -16,7 +16,7 @@ def con():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query(spark, con, name):
     ok, said = compare(spark, SF, name, con, registry.QUERIES, registry.SQL)
     assert ok, said
