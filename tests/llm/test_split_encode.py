@@ -15,7 +15,7 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
     pieces = split_text(text, limit, overlap)
     assert "".join(text[p["fresh"] : p["end"]] for p in pieces) == text
     for before, after in zip(pieces, pieces[1:]):
-        assert after["piece"][: after["fresh"] - after["start"]] == before["piece"][len(before["piece"]) - overlap :] if overlap else True
+        assert after["piece"][: after["fresh"] - after["start"]] == (before["piece"][-overlap:] if overlap else "")
     assert all(len(p["piece"]) <= limit for p in pieces)
 
 
