@@ -44,6 +44,16 @@ def test_cycles(spark):
     assert graph.reference_cycles(df.limit(0)).count() == 0
 
 
+def test_long_chain_and_long_cycle(spark):
+    """A long chain condenses in logarithmically many rounds; a long cycle is found whole."""
+    name = lambda i: f"n{i:05d}"
+    chain = [(name(i), name(i + 1), "") for i in range(2_000)]
+    assert not graph.has_cycle(spark.createDataFrame(chain, E))
+    ring = chain[:500] + [(name(500), name(0), ""), (name(50), "tail", ""), ("head", name(70), ""), (name(100), name(40), "")]
+    got = {r[0]: r[1] for r in graph.reference_cycles(spark.createDataFrame(ring, E)).collect()}
+    assert got == {name(i): name(0) for i in range(501)}
+
+
 def test_star_is_no_hot_group(spark):
     df = spark.createDataFrame([("hub", f"s{i}", "") for i in range(3000)], E)
     assert graph.connected_components(df).select("component").distinct().count() == 1
