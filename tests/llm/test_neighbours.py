@@ -49,3 +49,26 @@ def test_edges_and_hot_copies(spark):
     pairs = mutual_pairs(spark.createDataFrame(got), "id").toPandas()
     assert (pairs.id_a < pairs.id_b).all() and not pairs.duplicated().any()
     assert nearest_neighbours(spark.createDataFrame([], S), "id", "grp", "vec").count() == 0
+
+
+def test_copies_below_the_bound_and_near_copies(spark):
+    """Of 10 to 32 copies the smallest ids are the neighbours; float32 does not order near-copies."""
+    rng = np.random.default_rng(5)
+    x, at = vectors(600, 2), rng.permutation(600)
+    for first, copies in ((0, 10), (10, 20), (30, 32)):
+        x[at[first : first + copies]] = x[at[first]]
+    near = x[at[100]]
+    for n, i in enumerate(at[100:130]):
+        x[i] = near
+        x[i, n % 16] = np.nextafter(near[n % 16], np.float32(9), dtype=np.float32)
+    rows = [(i, "a", v.tolist(), "") for i, v in enumerate(x)]
+    got = nearest_neighbours(spark.createDataFrame(rows, S), "id", "grp", "vec").toPandas()
+    found, want = got.groupby("id").neighbour.apply(set).to_dict(), brute(x, np.arange(600))
+    for first, copies in ((0, 10), (10, 20), (30, 32)):
+        ids = sorted(at[first : first + copies].tolist())
+        assert all(found[i] == set([j for j in ids if j != i][:5]) for i in ids)
+    y = x.astype(np.float64)
+    sims = {i: np.sort(y @ y[i] / np.linalg.norm(y, axis=1) / np.linalg.norm(y[i]))[::-1] for i in at[100:130]}
+    best = got.sort_values("similarity", ascending=False).groupby("id").similarity.apply(list)
+    assert all(np.allclose(best[i], sims[i][1:6], rtol=0, atol=1e-15) for i in sims)
+    assert all(found[i] == set(want[i]) for i in at[130:].tolist())

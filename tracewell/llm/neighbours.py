@@ -309,30 +309,32 @@ def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: i
         packs = [np.frombuffer(b, np.int64) for b in table.column("ids").to_pylist()]
         stored = np.repeat(table.column("stored").to_numpy(), [len(p) for p in packs])
         ids = np.concatenate(packs)
-        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(-1, dim)
-        unit = _unit(x)
+        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(-1, dim).astype(np.float64)
+        unit = _unit(x).astype(np.float32)
         base, first = np.flatnonzero(stored), None
         base = base[np.argsort(ids[base], kind="stable")]
         _, first = np.unique(ids[base], return_index=True)
         base = base[first]
         out_q, out_n, out_s = [], [], []
-        wide = min(k + 4, len(base))
-        for a in range(0, len(ids), 1024):
-            rows_ = np.arange(a, min(a + 1024, len(ids)))
-            if not wide:
-                break
-            sims = unit[rows_] @ unit[base].T
-            sims[ids[rows_][:, None] == ids[base][None, :]] = -2
-            top = np.argpartition(-sims, wide - 1, axis=1)[:, :wide] if wide < len(base) else np.tile(np.arange(len(base)), (len(rows_), 1))
-            # Candidates tied with the last one kept are all looked at again, so float32 decides nothing.
-            q, c = x[rows_].astype(np.float64), x[base].astype(np.float64)
-            exact = np.einsum("ij,ikj->ik", q, c[top]) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[top])
-            exact[np.take_along_axis(sims, top, 1) <= -2] = -3
-            order = np.lexsort((ids[base][top], -exact), axis=1)[:, :k]
-            kept = np.take_along_axis(exact, order, 1)
-            names = ids[base][np.take_along_axis(top, order, 1)]
-            ok = kept > -3
-            out_q.append(np.repeat(ids[rows_], ok.sum(axis=1))), out_n.append(names[ok]), out_s.append(kept[ok])
+        held, norm, c = ids[base], np.linalg.norm(x, axis=1), unit[base].T
+        # Twice what a float32 product of two rounded unit vectors can be off.
+        margin = (dim + 4) * 2.0**-23
+        for a in range(0, len(ids) if len(base) else 0, 256):
+            rows_ = np.arange(a, min(a + 256, len(ids)))
+            sims = unit[rows_] @ c
+            sims[ids[rows_][:, None] == held[None, :]] = -2
+            # All that may be as near as the k-th best goes through the exact step, so float32 decides nothing.
+            kth = np.partition(sims, -k, axis=1)[:, -k] if k < len(base) else np.full(len(rows_), -2)
+            row, at = np.nonzero(sims >= np.maximum(kth - margin, -1.5)[:, None])
+            q, n = rows_[row], base[at]
+            exact = np.empty(len(q))
+            for i in range(0, len(q), 65_536):
+                part = slice(i, i + 65_536)
+                exact[part] = np.einsum("ij,ij->i", x[q[part]], x[n[part]]) / (norm[q[part]] * norm[n[part]])
+            order = np.lexsort((ids[n], -exact, row))
+            row = row[order]
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            out_q.append(ids[q[order]]), out_n.append(ids[n[order]]), out_s.append(exact[order])
         cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
         return pa.table([cat(out_q, pa.int64()), cat(out_n, pa.int64()), cat(out_s, pa.float64())], ["id", "neighbour", "similarity"])
 
