@@ -1,6 +1,6 @@
 import numpy as np
 
-from tracewell.llm.neighbours import fit_tree, mutual_pairs, nearest_neighbours, visit
+from tracewell.llm.neighbours import RECALL, fit_tree, mutual_pairs, nearest_neighbours, visit
 
 S = "id long, grp string, vec array<float>, similarity string"
 
@@ -72,3 +72,8 @@ def test_copies_below_the_bound_and_near_copies(spark):
     best = got.sort_values("similarity", ascending=False).groupby("id").similarity.apply(list)
     assert all(np.allclose(best[i], sims[i][1:6], rtol=0, atol=1e-15) for i in sims)
     assert all(found[i] == set(want[i]) for i in at[130:].tolist())
+
+
+def test_wanted_recall():
+    """The wanted share of true neighbours is 0.995; it is no means to save disk."""
+    assert RECALL == 0.995

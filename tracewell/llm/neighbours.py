@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracewell.session import cut
 
 SAMPLE, PROBES, LEAF, BRANCH, BLOCK, COPIES = 65_536, 512, 2048, 128, 8192, 32
-RECALL = 0.99
+RECALL = 0.995
 
 
 @dataclass
