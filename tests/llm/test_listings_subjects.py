@@ -50,3 +50,12 @@ def test_subjects(spark):
 
 def test_sentences():
     assert len(sentences("No. 3: the lamp, e.g. in room 3.5, is lit. 접지한다. 5층 조도는 유지한다.\nSecond (qty. 4) line")) == 4
+
+
+def test_rare_terms_beyond_the_fitted_vocabulary(spark):
+    """Terms too rare for the topic fit still decide sentences: a top term, and one learnt beside it."""
+    rows = [(i, f"The corridor lamp shall keep glare under the limit on level {i % 5}. It is lit. " * 2 if i % 2 else f"The ground rod shall carry the fault current on level {i % 5}. It is tested.") for i in range(200)]
+    rows += [(500 + i, "The detector shall withstand flame and smoke. The quenching nozzle starts the jockey pump.") for i in range(8)]
+    rows += [(600 + i, "Quenching nozzle, blue.") for i in range(4)]
+    got = {(r[0], r[1]) for r in document_subjects(spark.createDataFrame(rows, "id long, text string"), "id", "text", size=20, topics=6, iterations=10).collect()}
+    assert {x for x in got if x[0] >= 500} == {(i, "fire_protection") for i in [*range(500, 508), *range(600, 604)]}
