@@ -1,6 +1,6 @@
 import numpy as np
 
-from tracewell.llm.neighbours import RECALL, fit_tree, mutual_pairs, nearest_neighbours, visit
+from tracewell.llm.neighbours import RECALL, calibrate, exact_neighbours, fit_tree, homes, measured_recall, mutual_pairs, nearest_neighbours, route, search_block, visit
 
 S = "id long, grp string, vec array<float>, similarity string"
 
@@ -22,14 +22,15 @@ def brute(x, ids, k=5):
 def test_exhaustive_visits_are_exact():
     x = vectors(3000)
     tree = fit_tree(x, 3000, leaf=200, branch=8)
-    order = visit(tree, x / np.linalg.norm(x, axis=1)[:, None], tree.leaves)
+    order, sims = visit(tree, x / np.linalg.norm(x, axis=1)[:, None], tree.leaves)
+    assert np.isfinite(sims).all()
     assert tree.leaves > 8 and all(sorted(r) == list(range(tree.leaves)) for r in order[:50])
 
 
 def test_recall(spark):
     x = vectors(3000)
     rows = [(i, "a" if i % 3 else "b", v.tolist(), "clash") for i, v in enumerate(x)]
-    got = nearest_neighbours(spark.createDataFrame(rows, S), "id", "grp", "vec", leaf=256, block=400).toPandas()
+    got = nearest_neighbours(spark.createDataFrame(rows, S), "id", "grp", "vec", leaf=256).toPandas()
     found = set(zip(got.id, got.neighbour))
     want = set()
     for g in (0, 1):
@@ -42,7 +43,7 @@ def test_edges_and_hot_copies(spark):
     one = [1.0] * 8
     rows = [(i, "hot", one, "") for i in range(500)] + [(i, "hot", vectors(1, i, 8)[0].tolist(), "") for i in range(500, 520)]
     rows += [(600, "hot", None, ""), (601, "hot", [0.0] * 8, ""), (602, None, one, ""), (603, "hot", [], ""), (604, "solo", one, ""), (605, "hot", [float("nan")] * 8, ""), (3, "hot", one, "")]
-    got = nearest_neighbours(spark.createDataFrame(rows, S), "id", "grp", "vec", copies=100).toPandas()
+    got = nearest_neighbours(spark.createDataFrame(rows, S), "id", "grp", "vec", copies=100, leaf=64).toPandas()
     near = got.groupby("id").neighbour.apply(sorted).to_dict()
     assert near[300] == [0, 1, 2, 3, 4] and near[2] == [0, 1, 3, 4, 5] and not {600, 601, 602, 603, 604, 605} & set(near)
     assert len(near) == 520
@@ -74,6 +75,53 @@ def test_copies_below_the_bound_and_near_copies(spark):
     assert all(found[i] == set(want[i]) for i in at[130:].tolist())
 
 
+def test_calibrated_gap_visits_less_than_the_fixed_number():
+    x = vectors(6000, 3)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree, probes = fit_tree(x[:3000], 6000, leaf=300), x[5000:5500]
+    home = homes(tree, x)
+    sims = probes @ x.T
+    sims[np.arange(500), np.arange(5000, 5500)] = -2
+    near = np.argsort(-sims, axis=1)[:, :5]
+    assert calibrate(tree, probes, list(home[near]), 0.99) >= 0.99
+    q, to = route(tree, probes)
+    assert len(q) < 500 * tree.visits and (to[np.diff(q, prepend=-1) != 0] == homes(tree, probes)).all()
+    seen = set(zip(q, to))
+    assert np.mean([(i, h) in seen for i in range(500) for h in home[near[i]]]) >= 0.99
+
+
+def test_lower_levels_of_a_large_branch():
+    """A branch of many leaves is split where it lies; all its rows are asked and stored."""
+    x = vectors(4000, 4)
+    ids, stored = np.arange(4000) * 3, np.arange(4000) % 4 > 0
+    i, n, s = search_block(x, ids, stored, 5, leaf=200)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    sims = y @ y[stored].T
+    sims[np.flatnonzero(stored), np.arange(stored.sum())] = -2
+    want = {(3 * a, int(ids[stored][b])) for a in range(4000) for b in np.argsort(-sims[a], kind="stable")[:5]}
+    assert len(want & set(zip(i, n))) / len(want) >= 0.97 and (np.unique(i, return_counts=True)[1] == 5).all()
+    whole = search_block(x, ids, stored, 5)
+    assert set(zip(whole[0], whole[1])) == want and np.isclose(np.sort(whole[2])[-1], sims.max())
+
+
+def test_lengths_small_groups_and_measured_recall(spark):
+    """Vectors of another length have neighbours of their own length; a sample smaller than a group is enough."""
+    x, short = vectors(2400, 6), vectors(40, 7, 5)
+    rows = [(i, "a", v.tolist(), "") for i, v in enumerate(x)] + [(5000 + i, "a", v.tolist(), "") for i, v in enumerate(short)] + [(9000, "alone", [1.0, 2.0], "")]
+    df = spark.createDataFrame(rows, S)
+    got = nearest_neighbours(df, "id", "grp", "vec", leaf=200, sample=600).toPandas()
+    found, want = set(zip(got.id, got.neighbour)), {(5000 + a, 5000 + b) for a, bs in brute(short, np.arange(40)).items() for b in bs}
+    assert want <= found and not (got.id == 9000).any() and len(got) == 5 * 2440
+    told = {(r.grp, r.queries): r.recall for r in measured_recall(df, "id", "grp", "vec", every=10, leaf=200, sample=600).collect()}
+    assert set(told) == {("a", 240), ("a", 4)} and min(told.values()) >= 0.97
+    probes = [("16:a", np.arange(0, 300, 7), x[0:300:7])]
+    from tracewell.llm.neighbours import _usable
+
+    exact = {(r.q, n.id) for r in exact_neighbours(_usable(df.union(df), "id", "grp", "vec"), probes, 5).collect() for n in r.near}
+    assert exact == {(i, n) for i, ns in brute(x, np.arange(2400)).items() if i in probes[0][1] for n in ns}
+
+
 def test_wanted_recall():
     """The wanted share of true neighbours is 0.995; it is no means to save disk."""
     assert RECALL == 0.995

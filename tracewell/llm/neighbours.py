@@ -1,47 +1,57 @@
 """Most similar vectors for every vector, by a hierarchical k-means tree.
 
-The tree is fitted on the driver from a bounded, documented sample (at most ``SAMPLE`` vectors of all
-groups together); every row is then indexed under its nearest leaf. A query walks the tree best bin
-first: a priority queue holds the centres met so far, the nearest is taken, inner nodes push their
-children, leaves are visited. How many leaves a query visits is calibrated: the exact neighbours of up to
-``PROBES`` sampled queries are found over all rows, and visits widen until the share of those neighbours
-that lie in the visited leaves reaches the wanted recall.
-
-Leaves are compared exactly, in float32 for the candidates and in double precision for the answer. A
-leaf expected to hold more than ``BLOCK`` rows is cut into blocks which all its queries meet, so no task
-receives an unbounded leaf. Of vectors stored more than ``COPIES`` times in a group only the smallest ids
-can be neighbours: the other copies are answered from them and stay out of the index.
-
-Defined cases: null, empty, all-zero, non-finite vectors and null groups or ids take no part; vectors of
-another length than the commonest of the sample take no part either (cosine is not defined between
-them); repeated ids count once; equal similarities go to the smaller id; a group with fewer than k others
-gives fewer rows; an empty table gives none.
+The upper levels of the tree are fitted on the driver from a bounded, documented sample: one row in
+``SAMPLE_SHARE``, at least ``LEAST_SAMPLE`` and at most ``MOST_SAMPLE``, all groups together. Every row is then
+stored in its nearest branch. A branch that turns out larger than two leaves gets its lower levels where it
+lies, fitted on its own rows, so leaves stay near ``LEAF`` rows at any size of the table.
+
+A query walks the tree best bin first: a priority queue holds the centres met so far, the nearest is
+taken, inner nodes push their children, branches are visited. It goes on to further branches while their
+centres are within a gap of its best one. How many are looked at and how wide the gap is, is calibrated for
+each group: the exact neighbours of sampled probes are found over all rows of the group, and visits widen
+until the share of those neighbours that lie in the visited branches reaches the wanted recall. The lower
+levels are calibrated the same way on probes of their branch.
+
+Inside a leaf all rows are compared in float32, and all that rounding leaves undecided again in double
+precision. Equal vectors of a branch are compared once and stand for their k + 1 smallest ids. Vectors seen
+``COPIES`` times in the sample are answered from their smallest ids and stored with those only, so that
+copies of one vector never fill a branch; which vectors these are changes the work and not the result.
+
+Groups without a tree (at most 1/4096 of all rows, or a leaf) are one branch each. Vectors are compared
+within their length. Defined cases: null, empty, all-zero, non-finite vectors and null groups or ids take
+no part; repeated ids count once; equal similarities go to the smaller id; a group with fewer than k
+others gives fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.session import cut
 
-SAMPLE, PROBES, LEAF, BRANCH, BLOCK, COPIES = 65_536, 512, 2048, 128, 8192, 32
+LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_SHARE = 1 << 15, 1 << 20, 256
+LEAF, BRANCH, COPIES = 4096, 128, 16
+PROBES, MOST_PROBES, LEAF_PROBES, GROUPS, WAVE = 2048, 8192, 64, 4096, 65_536
 RECALL = 0.995
 
 
 @dataclass
 class Tree:
-    """Centres of inner nodes and leaves; ``children`` holds row indices of nodes, ``leaf`` a leaf number or -1."""
+    """Centres of inner nodes and leaves; ``children`` holds row indices of nodes, ``leaf`` a leaf number or -1.
+
+    A query looks at ``visits`` leaves and takes those whose centre is at most ``gap`` less similar than its best.
+    """
 
     centres: np.ndarray
     children: list[np.ndarray]
     leaf: np.ndarray
-    blocks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    visits: int = 1
+    gap: float = 0.0
 
     @property
     def leaves(self) -> int:
@@ -67,12 +77,14 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def fit_tree(sample: np.ndarray, rows: int, leaf: int = LEAF, branch: int = BRANCH, seed: int = 7) -> Tree:
-    """Split until a node stands for at most ``leaf`` of the ``rows`` indexed; blocks come from the same estimate."""
+    """Split until a node stands for at most ``leaf`` of the ``rows`` indexed, or for under 32 of the sample."""
     rng, share = np.random.default_rng(seed), max(1.0, rows / max(1, len(sample)))
     sample = _unit(sample).astype(np.float32)
-    centres, children, leaves, blocks = [], [], [], []
+    centres, children, leaves = [], [], []
+    count = 0
 
     def grow(x: np.ndarray) -> int:
+        nonlocal count
         me = len(centres)
         mean = x.mean(axis=0)
         size = float(np.linalg.norm(mean))
@@ -85,35 +97,35 @@ def fit_tree(sample: np.ndarray, rows: int, leaf: int = LEAF, branch: int = BRAN
             at = _kmeans(x, k, rng)
             parts = [x[at == i] for i in range(k) if (at == i).any()]
         if len(parts) < 2:
-            leaves[me] = len(blocks)
-            blocks.append(max(1, int(np.ceil(len(x) * share / BLOCK))))
+            leaves[me] = count
+            count += 1
         else:
             children[me] = np.array([grow(p) for p in parts])
         return me
 
     grow(sample)
-    return Tree(np.array(centres, np.float32), children, np.array(leaves), np.array(blocks))
+    return Tree(np.array(centres, np.float32), children, np.array(leaves))
 
 
-def visit(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
-    """Leaf numbers in best-bin-first order, one row a query, padded with -1.
+def visit(tree: Tree, x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf numbers in best-bin-first order, one row a query, padded with -1, and the similarity of their centres.
 
     The queues of a whole batch advance together: each step takes every query's nearest open node.
     """
     n, visits = len(x), min(visits, tree.leaves)
-    out = np.full((n, visits), -1, np.int64)
+    out, sims = np.full((n, visits), -1, np.int64), np.full((n, visits), -np.inf, np.float32)
     taken = np.zeros(n, np.int64)
     node = np.zeros((n, 1), np.int64)
     near = np.full((n, 1), 2.0, np.float32)
     live = np.arange(n)
     while len(live):
         best = np.argmax(near[live], axis=1)
-        here = node[live, best]
+        here, sim = node[live, best], near[live, best]
         near[live, best] = -np.inf
         leaf = tree.leaf[here]
         done = leaf >= 0
         at = live[done]
-        out[at, taken[at]] = leaf[done]
+        out[at, taken[at]], sims[at, taken[at]] = leaf[done], sim[done]
         taken[at] += 1
         inner, where = live[~done], here[~done]
         if len(inner):
@@ -129,224 +141,362 @@ def visit(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
                 more_node[inner[a:b], : len(kids)] = kids
             near, node = np.hstack([near, more_near]), np.hstack([node, more_node])
         live = live[(taken[live] < visits) & (near[live].max(axis=1) > -np.inf)]
-    return out
+    return out, sims
+
+
+def route(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, leaf): each query's own leaf, where it would be stored, and the others it visits."""
+    leaf, sims = visit(tree, x, tree.visits)
+    go = (leaf >= 0) & (sims >= sims.max(axis=1, keepdims=True) - tree.gap)
+    go[:, 0] = True
+    query, at = np.nonzero(go)
+    return query, leaf[query, at]
+
+
+def homes(tree: Tree, x: np.ndarray) -> np.ndarray:
+    return visit(tree, x, 1)[0][:, 0]
+
+
+def calibrate(tree: Tree, probes: np.ndarray, truth: list[np.ndarray], recall: float) -> float:
+    """Set visits and gap to the least that hold the wanted share of ``truth``, the leaves of each probe's neighbours.
+
+    Visits are first widened to lose at most half of what may be lost, then the gap takes the other half.
+    """
+    if tree.leaves < 2 or not sum(map(len, truth)):
+        tree.visits, tree.gap = min(tree.visits, tree.leaves), 4.0
+        return 1.0
+    whom = np.repeat(np.arange(len(probes)), [len(t) for t in truth])
+    want, wide = np.concatenate(truth), 16
+    while True:
+        leaf, sims = visit(tree, probes, wide)
+        hit = leaf[whom] == want[:, None]
+        place = np.where(hit.any(axis=1), hit.argmax(axis=1), 1 << 30)
+        if wide >= tree.leaves or (place < wide).mean() >= 1 - (1 - recall) / 2:
+            break
+        wide *= 2
+    ordered = np.sort(place)
+    last = min(len(ordered) - 1, int(np.ceil((1 - (1 - recall) / 2) * len(ordered))) - 1)
+    tree.visits = int(min(ordered[last] + 1, tree.leaves))
+    short = np.where(place < tree.visits, 0.0, np.inf)
+    inside = place < tree.visits
+    short[inside] = (sims[:, : tree.visits].max(axis=1)[whom] - sims[whom, np.minimum(place, leaf.shape[1] - 1)])[inside]
+    gaps = np.sort(short)
+    # A hair above, so that the neighbour that sets the gap is inside it.
+    tree.gap = float(gaps[min(len(gaps) - 1, int(np.ceil(recall * len(gaps))) - 1)]) + 1e-6
+    return float((short <= tree.gap).mean())
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """float32 rows of a list column whose lists all have ``dim`` values."""
-    flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
 def _usable(df: DataFrame, row_id: str, group: str, vector: str) -> DataFrame:
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
+    """grp (the length of the vector before the group, as only equal lengths compare), id, vec."""
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    rows = rows.where(F.col("grp").isNotNull() & F.col("id").isNotNull() & (F.size("vec") > 0))
-    return rows.where((norm > 0) & (norm < float("inf")))
+    rows = rows.where(F.col("g").isNotNull() & F.col("id").isNotNull() & (F.size("vec") > 0))
+    return rows.where((norm > 0) & (norm < float("inf"))).select(F.concat_ws(":", F.size("vec").cast("string"), "g").alias("grp"), "id", "vec")
 
 
-def _sample(rows: DataFrame, total: int, limit: int, seed: int) -> pd.DataFrame:
-    """At most ``limit`` rows, picked by a hash of the id; the extra factor covers the spread of the hash."""
-    share = max(1, int(total / (limit * 0.95)))
-    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).limit(limit).toPandas()
+def _dim(grp: str) -> int:
+    return int(grp.split(":", 1)[0])
 
 
-@dataclass
-class Index:
-    trees: dict[str, Tree]
-    visits: int
-    dim: int
-    recall: float
-    counts: dict[str, int]
+def _by_group(batch: pa.RecordBatch):
+    """(group, ids, vectors) of each group in a batch of grp, id, vec."""
+    codes = batch.column("grp").dictionary_encode()
+    at, ids = codes.indices.to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
+    for n, grp in enumerate(codes.dictionary.to_pylist()):
+        mine = np.flatnonzero(at == n)
+        yield grp, ids[mine], _matrix(batch.column("vec").take(pa.array(mine)), _dim(grp))
 
 
-def build_index(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, probes: int = PROBES, leaf: int = LEAF) -> Index | None:
-    counts = {r[0]: r[1] for r in rows.groupBy("grp").count().collect()}
-    total = sum(counts.values())
-    if not total:
-        return None
-    drawn = _sample(rows, total, sample, 1)
-    if drawn.empty:
-        drawn = rows.limit(sample).toPandas()
-    dim = int(drawn.vec.map(len).mode()[0])
-    drawn = drawn[drawn.vec.map(len) == dim]
-    trees = {g: fit_tree(np.stack(d.vec.to_list()), counts[g], leaf) for g, d in drawn.groupby("grp")}
-    index = Index(trees, 1, dim, 0.0, counts)
-    _calibrate(rows, index, drawn.iloc[:probes], k, recall)
-    return index
-
-
-def _calibrate(rows: DataFrame, index: Index, probe: pd.DataFrame, k: int, recall: float) -> None:
-    """Exact neighbours of the probes over all rows, in blocks, then the least visits that find enough of them."""
-    held = rows.sparkSession.sparkContext.broadcast(
-        (index.trees, {g: (d.id.to_numpy(), _unit(np.stack(d.vec.to_list()))) for g, d in probe.groupby("grp")})
-    )
-    dim = index.dim
+def _packed(rows: DataFrame) -> list:
+    """grp, ids, vectors of a bounded set of rows, brought to the driver as bytes."""
+
+    def pack(batches):
+        for batch in batches:
+            for grp, ids, x in _by_group(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["grp", "ids", "vecs"])
+
+    got: dict[str, list] = {}
+    for grp, ids, vecs in rows.mapInArrow(pack, "grp string, ids binary, vecs binary").collect():
+        got.setdefault(grp, []).append((np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float32).reshape(-1, _dim(grp))))
+    out = []
+    for grp in sorted(got):
+        ids, x = np.concatenate([i for i, _ in got[grp]]), np.concatenate([v for _, v in got[grp]])
+        ids, first = np.unique(ids, return_index=True)
+        out.append((grp, ids, x[first]))
+    return out
+
+
+def exact_neighbours(rows: DataFrame, probes: list, k: int) -> DataFrame:
+    """grp, q, near (sim, id; best first): brute force of a bounded set of probes over all rows.
+
+    rows: grp, id, vec. Each task keeps k rows a probe, so what is shuffled is of the size of the probes.
+    """
+    held = rows.sparkSession.sparkContext.broadcast({g: (ids, x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)) for g, ids, x in probes})
 
     def nearest(batches):
-        trees, probes = held.value
-        best: dict[int, list] = {}
+        rounded = {g: unit.astype(np.float32) for g, (_, unit) in held.value.items()}
+        best = {g: [np.full((len(i), k), 3.0), np.full((len(i), k), 1 << 62, np.int64)] for g, (i, _) in held.value.items()}
         for batch in batches:
-            x = _unit(_matrix(batch.column("vec"), dim))
-            groups, ids = np.array(batch.column("grp").to_pylist()), batch.column("id").to_numpy()
-            for g in np.unique(groups):
-                if g not in probes:
+            for grp, ids, x in _by_group(batch):
+                if grp not in best:
                     continue
-                mine = groups == g
-                at, xs, own = ids[mine], x[mine], probes[g][0]
-                sims = probes[g][1] @ xs.T
-                sims[own[:, None] == at[None, :]] = -2
-                top = np.argpartition(-sims, min(k, len(at)) - 1, axis=1)[:, :k]
-                leaf = visit(trees[g], xs[np.unique(top)], 1)[:, 0]
-                leaf_of = dict(zip(np.unique(top), leaf))
-                for i, q in enumerate(own):
-                    best.setdefault(int(q), []).extend((float(sims[i, j]), int(at[j]), int(leaf_of[j])) for j in top[i] if sims[i, j] > -2)
-            best = {q: sorted(v, key=lambda t: (-t[0], t[1]))[:k] for q, v in best.items()}
-        out = [(q, *t) for q, v in best.items() for t in v]
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["q", "sim", "id", "leaf"])
-
-    found = rows.where(F.size("vec") == dim).mapInArrow(nearest, "q long, sim double, id long, leaf long").dropDuplicates(["q", "id"])
-    # Of the size of the probes times k times the tasks.
-    truth = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("sim"), "id", "leaf"))), 1, k)["leaf"].alias("leaf")).toPandas()
-    truth = dict(zip(truth.q, truth.leaf))
-    hits: list[float] = []
-    for g, d in probe.groupby("grp"):
-        order = visit(index.trees[g], _unit(np.stack(d.vec.to_list()).astype(np.float32)), 64)
-        for q, row in zip(d.id, order):
-            place = {leaf: i for i, leaf in enumerate(row) if leaf >= 0}
-            hits += [place.get(leaf, 10**9) for leaf in truth.get(q, [])]
-    hits = np.array(hits)
-    most = max(t.leaves for t in index.trees.values())
-    visits = 1
-    while len(hits) and visits < most and (hits < visits).mean() < recall:
-        visits += 1
-        if visits > 64:
-            visits = most
-    index.visits, index.recall = visits, float((hits < visits).mean()) if len(hits) else 1.0
-
-
-def _copies(rows: DataFrame, k: int, total: int, copies: int) -> DataFrame | None:
-    """grp, h, ids: the k + 1 smallest ids of vectors stored very often. At most 4,096 such classes."""
-    often = max(copies, total // 4096)
-    hashed = rows.select("grp", F.xxhash64("vec").alias("h"), "id")
-    classes = hashed.groupBy("grp", "h").agg(F.count("*").alias("n")).where(F.col("n") > often)
-    classes = cut(classes.select("grp", "h"))
-    if classes.isEmpty():
-        return None
+                (own, unit), (score, name) = held.value[grp], best[grp]
+                x = _unit(x.astype(np.float64))
+                margin = (x.shape[1] + 4) * 2.0**-23
+                for a in range(0, len(ids), 2048):
+                    # Only what float32 cannot rule out against the k-th best so far is compared exactly.
+                    some, once = np.unique(ids[a : a + 2048], return_index=True)
+                    part = x[a : a + 2048][once]
+                    sims, least = rounded[grp] @ part.astype(np.float32).T, -score[:, -1]
+                    if len(part) > k + 1 and (least < -1).any():
+                        # Nothing held yet: the block's own k-th best, the probe itself aside.
+                        least = np.maximum(least, np.partition(sims, -k - 1, axis=1)[:, -k - 1])
+                    q, c = np.nonzero(sims >= (least - margin)[:, None])
+                    there = some[c]
+                    q, c, there = (v[own[q] != there] for v in (q, c, there))
+                    exact = np.empty(len(q))
+                    for i in range(0, len(q), 65_536):
+                        exact[i : i + 65_536] = np.einsum("ij,ij->i", unit[q[i : i + 65_536]], part[c[i : i + 65_536]])
+                    touched = np.unique(q)
+                    q = np.concatenate([np.repeat(touched, k), q])
+                    there = np.concatenate([name[touched].ravel(), there])
+                    exact = np.concatenate([score[touched].ravel(), -exact])
+                    order = np.lexsort((there, exact, q))
+                    q, there, exact = q[order], there[order], exact[order]
+                    # A repeated id counts once: equal rows lie side by side.
+                    new = (there == 1 << 62) | (np.diff(there, prepend=-1) != 0) | (np.diff(q, prepend=-1) != 0)
+                    q, there, exact = q[new], there[new], exact[new]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    first = place < k
+                    score[q[first], place[first]], name[q[first], place[first]] = exact[first], there[first]
+        for grp, (score, name) in best.items():
+            q, at = np.nonzero(score < 2)
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(q), pa.string()), pa.array(held.value[grp][0][q]), pa.array(score[q, at]), pa.array(name[q, at])], ["grp", "q", "s", "id"])
+
+    found = rows.mapInArrow(nearest, "grp string, q long, s double, id long")
+    return found.groupBy("grp", "q").agg(F.slice(F.array_sort(F.collect_set(F.struct("s", "id"))), 1, k).alias("near"))
+
+
+def build_index(rows: DataFrame, k: int, recall: float = RECALL, sample: int | None = None, probes: int = PROBES, leaf: int = LEAF, copies: int = COPIES) -> tuple[dict[str, Tree], dict[str, list[bytes]]]:
+    """(trees by group, often stored vectors by group)."""
+    counts = cut(rows.groupBy("grp").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return {}, {}
+    # Fewer than GROUPS groups hold more than 1/GROUPS of the rows.
+    large = {g: n for g, n in counts.where(F.col("n") > max(leaf, total // GROUPS)).collect()}
+    sample = sample or min(MOST_SAMPLE, max(LEAST_SAMPLE, total // SAMPLE_SHARE))
+    pick = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, int(total / (sample * 0.95))))) == 0
+    # The limit guards the driver against ids stored very often; a hash of different ids stays under it.
+    drawn = _packed(rows.where(pick).limit(2 * sample))
+    often, trees, probed = {}, {}, []
+    each = max(32, min(probes, MOST_PROBES // max(1, len(large))))
+    for grp, ids, x in drawn:
+        same, n = np.unique(x.view(np.dtype((np.void, 4 * x.shape[1]))).ravel(), return_counts=True)
+        if (n >= copies).any():
+            often[grp] = [v.tobytes() for v in same[n >= copies]]
+        if grp in large:
+            # The probes are drawn over the whole sample of the group and kept out of the fit.
+            mixed = np.random.default_rng(11).permutation(len(ids))
+            some, rest = mixed[: min(each, len(ids) // 4)], mixed[min(each, len(ids) // 4) :]
+            trees[grp] = fit_tree(x[np.sort(rest)], large[grp], leaf)
+            probed.append((grp, ids[some], x[some]))
+    probed = [p for p in probed if trees[p[0]].leaves > 1]
+    if probed:
+        truth = exact_leaves(rows, trees, probed, k)
+        for grp, ids, x in probed:
+            calibrate(trees[grp], _unit(x).astype(np.float32), [truth.get((grp, int(i)), np.empty(0, np.int64)) for i in ids], recall)
+    return trees, often
+
+
+def exact_leaves(rows: DataFrame, trees: dict[str, Tree], probes: list, k: int) -> dict[tuple[str, int], np.ndarray]:
+    """The leaf of each exact neighbour of each probe: the neighbours' own rows are looked up by id."""
+    near = cut(exact_neighbours(rows, probes, k))
+    wanted = near.select("grp", F.explode("near.id").alias("id")).distinct()
+    # At most k a probe.
+    found = rows.join(F.broadcast(wanted), ["grp", "id"], "left_semi")
+    place = {}
+    for grp, ids, x in _packed(found.dropDuplicates(["grp", "id"])):
+        place |= {(grp, int(i)): int(h) for i, h in zip(ids, homes(trees[grp], _unit(x).astype(np.float32)))}
+    return {(r[0], r[1]): np.array([place[r[0], i] for i in r[2]]) for r in near.select("grp", "q", "near.id").collect()}
+
+
+def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the first of each class of equal vectors, class of each row)."""
+    _, first, of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def _candidates(query: np.ndarray, base: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, base) row numbers: all that float32 cannot tell from the ``keep`` best of each query."""
+    rows, at = [], []
+    # Twice what a float32 product of two rounded unit vectors can be off.
+    margin = (query.shape[1] + 4) * 2.0**-23
+    for a in range(0, len(query), 256):
+        sims = query[a : a + 256] @ base.T
+        least = np.partition(sims, -keep, axis=1)[:, -keep] - margin if keep < len(base) else np.full(len(sims), -2.0)
+        r, c = np.nonzero(sims >= least[:, None])
+        rows.append(r + a), at.append(c)
+    return np.concatenate(rows), np.concatenate(at)
+
+
+def search_block(x: np.ndarray, ids: np.ndarray, stored: np.ndarray, k: int, recall: float = RECALL, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, similarity): the k best stored rows of one branch for each of its rows."""
+    base = np.flatnonzero(stored)
+    base = base[np.unique(ids[base], return_index=True)[1]]
+    first, of = _classes(x[base])
+    # The k + 1 smallest ids of each class of equal vectors: ``base`` is in the order of ids.
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(first)))
+    size = np.minimum(np.diff(np.append(start, len(of))), k + 1)
+    asks, who = np.unique(ids, return_index=True)
+    x64 = x.astype(np.float64)
+    norm = np.linalg.norm(x64, axis=1)
+    unit = (x64 / norm[:, None]).astype(np.float32)
+    mine, uniq = unit[who], unit[base[first]]
+    if len(uniq) <= 2 * leaf:
+        q, c = _candidates(mine, uniq, k + 1)
+    else:
+        tree = fit_tree(uniq, len(uniq), leaf)
+        home = homes(tree, uniq)
+        some = np.random.default_rng(13).permutation(len(uniq))[:LEAF_PROBES]
+        pq, pc = _candidates(uniq[some], uniq, k + 1)
+        pq, pc = pq[some[pq] != pc], pc[some[pq] != pc]
+        calibrate(tree, uniq[some], [home[pc[pq == i]] for i in range(len(some))], recall)
+        go, to = route(tree, mine)
+        lies, goes = np.argsort(home, kind="stable"), np.argsort(to, kind="stable")
+        parts = []
+        for n in range(tree.leaves):
+            here = lies[np.searchsorted(home[lies], n) : np.searchsorted(home[lies], n, "right")]
+            them = go[goes[np.searchsorted(to[goes], n) : np.searchsorted(to[goes], n, "right")]]
+            if len(here) and len(them):
+                a, b = _candidates(mine[them], uniq[here], k + 1)
+                parts.append((them[a], here[b]))
+        q, c = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    exact = np.empty(len(q))
+    at, to = who[q], base[first[c]]
+    for i in range(0, len(q), 65_536):
+        part = slice(i, i + 65_536)
+        exact[part] = np.einsum("ij,ij->i", x64[at[part]], x64[to[part]]) / (norm[at[part]] * norm[to[part]])
+    # Classes fall apart into ids; a row is no neighbour of its own.
+    many = size[c]
+    q, exact = np.repeat(q, many), np.repeat(exact, many)
+    near = ids[base[order[np.repeat(start[c], many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)]]]
+    other = asks[q] != near
+    q, exact, near = q[other], exact[other], near[other]
+    order = np.lexsort((near, -exact, q))
+    q = q[order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    q = np.sort(q)
+    q = q[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return asks[q], near[order], exact[order]
+
+
+def _often(rows: DataFrame, often: dict[str, list[bytes]], k: int) -> DataFrame:
+    """grp, vec, ids: the k + 1 smallest ids of each vector stored very often."""
+    held = rows.sparkSession.sparkContext.broadcast({g: set(v) for g, v in often.items()})
 
     def smallest(batches):
-        held: dict[tuple, list] = {}
-        for pdf in batches:
-            for key, ids in pdf.groupby(["grp", "h"]).id:
-                held[key] = sorted({*held.get(key, []), *ids.nsmallest(k + 1)})[: k + 1]
-        yield pd.DataFrame([(g, h, i) for (g, h), ids in held.items() for i in ids], columns=["grp", "h", "id"])
+        best: dict[tuple, list] = {}
+        for batch in batches:
+            for grp, ids, x in _by_group(batch):
+                wanted = held.value.get(grp, ())
+                for i, v in zip(ids.tolist(), map(bytes, x)) if wanted else ():
+                    if v in wanted and ((old := best.get((grp, v))) is None or len(old) <= k or i < old[-1]):
+                        best[grp, v] = sorted({*(old or ()), i})[: k + 1]
+        out = [(g, np.frombuffer(v, np.float32), i) for (g, v), ids in best.items() for i in ids]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g for g, _, _ in out], pa.string()), pa.array([v for _, v, _ in out], pa.list_(pa.float32())), pa.array([i for _, _, i in out], pa.int64())], ["grp", "vec", "id"]
+        )
 
-    # Each task hands on k + 1 ids a class, so the last step is small however often a vector is stored.
-    few = hashed.join(F.broadcast(classes), ["grp", "h"]).mapInPandas(smallest, "grp string, h long, id long").distinct()
-    return few.groupBy("grp", "h").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+    few = rows.mapInArrow(smallest, "grp string, vec array<float>, id long")
+    return few.groupBy("grp", "vec").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
 
 
 def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: int = 5, recall: float = RECALL, **sizes) -> DataFrame:
     """id, neighbour, similarity: the k most similar vectors of the same group."""
-    block, copies = sizes.pop("block", BLOCK), sizes.pop("copies", COPIES)
     rows = _usable(df, row_id, group, vector)
-    index = build_index(rows, k, recall, **sizes)
-    if index is None:
-        return df.sparkSession.createDataFrame([], "id long, neighbour long, similarity double")
-    rows = rows.where(F.size("vec") == index.dim)
+    leaf = sizes.get("leaf", LEAF)
+    trees, often = build_index(rows, k, recall, **sizes)
     spare = None
-    heavy = _copies(rows, k, sum(index.counts.values()), copies)
-    if heavy is not None:
-        heavy = F.broadcast(cut(heavy))
-        marked = rows.withColumn("h", F.xxhash64("vec")).join(heavy, ["grp", "h"], "left")
-        spare = marked.where(F.col("ids").isNotNull() & (F.size("ids") > k) & ~F.array_contains(F.slice("ids", 1, k + 1), F.col("id")))
-        spare = spare.select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity")).distinct()
-        rows = marked.where(F.col("ids").isNull() | (F.size("ids") <= k) | F.array_contains(F.slice("ids", 1, k + 1), F.col("id"))).select("grp", "id", "vec")
-    held = df.sparkSession.sparkContext.broadcast((index.trees, index.visits))
-    dim = index.dim
+    if often:
+        heavy = F.broadcast(cut(_often(rows, often, k)).where(F.size("ids") > k))
+        marked = rows.join(heavy, ["grp", "vec"], "left")
+        out = F.col("ids").isNotNull() & ~F.array_contains("ids", F.col("id"))
+        spare = marked.where(out).select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity")).distinct()
+        rows = marked.where(~out).select("grp", "id", "vec")
+    held = df.sparkSession.sparkContext.broadcast(trees)
 
     def scatter(batches):
-        """Each row once into its leaf's block as indexed row, and as query to the blocks of the leaves it visits."""
-        trees, visits = held.value
+        """Each row once into its branch as indexed row, and as query to the other branches it visits."""
         for batch in batches:
-            raw = _matrix(batch.column("vec"), dim)
-            unit, ids = _unit(raw), batch.column("id").to_numpy()
-            groups = np.array(batch.column("grp").to_pylist())
-            for g in np.unique(groups):
-                mine = np.flatnonzero(groups == g)
-                tree = trees.get(g)
-                if tree is None:
-                    tree = trees[g] = fit_tree(unit[mine][:1], 1)
-                seen = visit(tree, unit[mine], visits)
-                parts = tree.blocks[seen[:, 0]]
-                home = ids[mine] % parts
-                at, leaf, part, stored = [mine], [seen[:, 0]], [home], [np.ones(len(mine), bool)]
-                for v in range(seen.shape[1]):
-                    many = np.where(seen[:, v] >= 0, tree.blocks[np.maximum(seen[:, v], 0)], 0)
-                    for b in range(int(many.max()) if len(many) else 0):
-                        go = (many > b) & ~((v == 0) & (home == b))
-                        at.append(mine[go]), leaf.append(seen[go, v]), part.append(np.full(go.sum(), b))
-                        stored.append(np.zeros(go.sum(), bool))
-                at, leaf, part = np.concatenate(at), np.concatenate(leaf), np.concatenate(part)
-                asks_only = ~np.concatenate(stored)
-                # One packed row for each block and role: no cost a row in the shuffle.
-                order = np.lexsort((asks_only, part, leaf))
-                at, leaf, part, asks_only = at[order], leaf[order], part[order], asks_only[order]
-                starts = np.flatnonzero((np.diff(leaf, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0) | (np.diff(asks_only.astype(int), prepend=-1) != 0))
+            for grp, ids, raw in _by_group(batch):
+                tree = held.value.get(grp)
+                if tree is None or tree.leaves < 2:
+                    at, to, asks = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+                else:
+                    at, to = route(tree, _unit(raw.astype(np.float64)).astype(np.float32))
+                    asks = np.diff(at, prepend=-1) == 0
+                # One packed row for each branch and role: no cost a row in the shuffle.
+                order = np.lexsort((asks, to))
+                at, to, asks = at[order], to[order], asks[order]
+                starts = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(asks.astype(int), prepend=-1) != 0))
                 packs = [at[a:b] for a, b in zip(starts, [*starts[1:], len(at)])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([g] * len(packs)), pa.array(leaf[starts]), pa.array(part[starts].astype(np.int64)), pa.array(~asks_only[starts]),
+                        pa.array([grp] * len(packs)), pa.array(to[starts]), pa.array(~asks[starts]),
                         pa.array([ids[i].astype(np.int64).tobytes() for i in packs], pa.binary()), pa.array([raw[i].tobytes() for i in packs], pa.binary()),
                     ],
-                    ["grp", "leaf", "part", "stored", "ids", "vecs"],
+                    ["grp", "branch", "stored", "ids", "vecs"],
                 )
 
     def within(table: pa.Table) -> pa.Table:
-        """The k best stored rows of one block for each of its queries."""
         packs = [np.frombuffer(b, np.int64) for b in table.column("ids").to_pylist()]
         stored = np.repeat(table.column("stored").to_numpy(), [len(p) for p in packs])
-        ids = np.concatenate(packs)
-        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(-1, dim).astype(np.float64)
-        unit = _unit(x).astype(np.float32)
-        base, first = np.flatnonzero(stored), None
-        base = base[np.argsort(ids[base], kind="stable")]
-        _, first = np.unique(ids[base], return_index=True)
-        base = base[first]
-        out_q, out_n, out_s = [], [], []
-        held, norm, c = ids[base], np.linalg.norm(x, axis=1), unit[base].T
-        # Twice what a float32 product of two rounded unit vectors can be off.
-        margin = (dim + 4) * 2.0**-23
-        for a in range(0, len(ids) if len(base) else 0, 256):
-            rows_ = np.arange(a, min(a + 256, len(ids)))
-            sims = unit[rows_] @ c
-            sims[ids[rows_][:, None] == held[None, :]] = -2
-            # All that may be as near as the k-th best goes through the exact step, so float32 decides nothing.
-            kth = np.partition(sims, -k, axis=1)[:, -k] if k < len(base) else np.full(len(rows_), -2)
-            row, at = np.nonzero(sims >= np.maximum(kth - margin, -1.5)[:, None])
-            q, n = rows_[row], base[at]
-            exact = np.empty(len(q))
-            for i in range(0, len(q), 65_536):
-                part = slice(i, i + 65_536)
-                exact[part] = np.einsum("ij,ij->i", x[q[part]], x[n[part]]) / (norm[q[part]] * norm[n[part]])
-            order = np.lexsort((ids[n], -exact, row))
-            row = row[order]
-            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
-            out_q.append(ids[q[order]]), out_n.append(ids[n[order]]), out_s.append(exact[order])
-        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
-        return pa.table([cat(out_q, pa.int64()), cat(out_n, pa.int64()), cat(out_s, pa.float64())], ["id", "neighbour", "similarity"])
-
-    spread = rows.mapInArrow(scatter, "grp string, leaf long, part long, stored boolean, ids binary, vecs binary")
-    local = spread.groupBy("grp", "leaf", "part").applyInArrow(within, "id long, neighbour long, similarity double")
-    # At most visits x blocks x k candidates an id; the ids of a row meet in one small list.
-    ranked = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k)
-    best = local.groupBy("id").agg(ranked.alias("r")).select("id", F.explode("r").alias("r"))
+        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(len(stored), -1)
+        ids, near, sims = search_block(x, np.concatenate(packs), stored, k, recall, leaf) if stored.any() else (np.empty(0, np.int64),) * 3
+        starts = np.flatnonzero(np.diff(ids, prepend=np.iinfo(np.int64).min) != 0) if len(ids) else np.empty(0, np.int64)
+        pairs = pa.StructArray.from_arrays([pa.array(-sims.astype(np.float64)), pa.array(near)], ["s", "n"])
+        return pa.table({"id": pa.array(ids[starts]), "near": pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pairs)})
+
+    spread = rows.mapInArrow(scatter, "grp string, branch long, stored boolean, ids binary, vecs binary")
+    local = spread.groupBy("grp", "branch").applyInArrow(within, "id long, near array<struct<s:double,n:long>>")
+    best = local.groupBy("id").agg(best_of("near", k).alias("r")).select("id", F.explode("r").alias("r"))
     best = best.select("id", F.col("r.n").alias("neighbour"), (-F.col("r.s")).alias("similarity"))
     return best if spare is None else best.unionByName(spare)
 
 
+def best_of(near: str, k: int) -> Column:
+    """The k first of a row's small lists, one for each branch it visited."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(near)))), 1, k)
+
+
+def measured_recall(df: DataFrame, row_id: str, group: str, vector: str, k: int = 5, every: int = 100, **sizes) -> DataFrame:
+    """group, queries, recall: found against exact neighbours of the rows whose id is divisible by ``every``.
+
+    The queries go against all rows in waves of a bounded number.
+    """
+    rows = _usable(df, row_id, group, vector)
+    found = nearest_neighbours(df, row_id, group, vector, k, **sizes).where(F.col("id") % every == 0)
+    asks = rows.where(F.col("id") % every == 0)
+    waves, exact = -(-max(1, asks.count()) // WAVE), None
+    for wave in range(waves):
+        probes = _packed(asks.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(waves)) == wave))
+        if probes:
+            near = exact_neighbours(rows, probes, k).select("grp", F.col("q").alias("id"), F.explode("near.id").alias("neighbour"))
+            exact = near if exact is None else exact.unionByName(near)
+    if exact is None:
+        return df.sparkSession.createDataFrame([], f"{group} string, queries long, recall double")
+    both = exact.join(found.select("id", "neighbour", F.lit(1.0).alias("hit")), ["id", "neighbour"], "left")
+    by = both.groupBy(F.substring_index("grp", ":", 1).alias("length"), F.expr("substring(grp, locate(':', grp) + 1)").alias(group))
+    return by.agg(F.countDistinct("id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")).drop("length")
+
+
 def mutual_pairs(neighbours: DataFrame, name: str) -> DataFrame:
     """name_a < name_b: one of the two is among the neighbours of the other."""
     return neighbours.select(F.least("id", "neighbour").alias(f"{name}_a"), F.greatest("id", "neighbour").alias(f"{name}_b")).distinct()

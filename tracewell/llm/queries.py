@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.encode import count_tokens, decode_ids, encode_corpus
 from tracewell.llm.listings import product_keys, same_product_pairs
 from tracewell.llm.lookalikes import consistent_forms
-from tracewell.llm.neighbours import mutual_pairs, nearest_neighbours
+from tracewell.llm.neighbours import measured_recall, mutual_pairs, nearest_neighbours
 from tracewell.llm.packing import fill_containers
 from tracewell.llm.split import split_items
 from tracewell.llm.subjects import document_subjects, sentence_subjects
@@ -44,6 +44,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutual_pairs(p6_neighbours(spark, sf_dir), "chunk_seq")
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact neighbours that are found, by collection, for every chunk_seq divisible by 100 against all rows."""
+    return measured_recall(table(spark, sf_dir, "kec_chunks"), "chunk_seq", "collection", "embedding")
+
+
 def _forms(spark: SparkSession, sf_dir: str, forms: bool) -> DataFrame:
     catalogue, chunks = "material_knowledge_metadata", "kec_chunks"
     return consistent_forms(table(spark, sf_dir, catalogue), catalogue, "listing_id", ["name", "specification"], forms).unionByName(
@@ -95,7 +100,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p6_recall, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
