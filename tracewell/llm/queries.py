@@ -11,7 +11,7 @@ from tracewell.llm.lookalikes import consistent_forms
 from tracewell.llm.neighbours import measured_recall, mutual_pairs, nearest_neighbours
 from tracewell.llm.packing import fill_containers
 from tracewell.llm.split import split_items
-from tracewell.llm.subjects import document_subjects, sentence_subjects
+from tracewell.llm.subjects import document_subjects, label_agreement, sentence_subjects, topic_table
 from tracewell.sources import table
 
 
@@ -91,16 +91,31 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("containers", F.ceil(F.col("tokens") / 2048).alias("least_possible"), (F.col("tokens") / (F.col("containers") * 2048)).alias("used_share"))
 
 
+def _subject_inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    return table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return document_subjects(*_subject_inputs(spark, sf_dir))
 
 
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences of each document treat each subject, and any."""
-    return sentence_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentence_subjects(*_subject_inputs(spark, sf_dir))
+
+
+def p10_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand labels of each subject, and how many of them the subjects found agree with."""
+    _, key, _, areas, labels = _subject_inputs(spark, sf_dir)
+    return label_agreement(p10_found(spark, sf_dir), key, areas, labels)
+
+
+def p10_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted topics with their top terms and the subject they are mapped to."""
+    return topic_table(*_subject_inputs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p6_recall, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p6_recall, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences, p10_agreement, p10_topics)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
