@@ -46,3 +46,14 @@ def test_packers():
     assert all(len(c) <= 1200 for c in chunks) and chunks[0] == "p" * 500 + "\n\n" + "q" * 500 and chunks[1].startswith("q" * 150 + "r" * 500)
     assert pack_paragraphs(None) == [] and pack_paragraphs("tiny") == []
     assert [len(c) for c in pack_with_windows("a" * 2500)] == [1000, 1000, 700] and pack_with_windows(None) == []
+
+
+def test_compatible_forms_are_searched_alike(spark):
+    from tracewell.operators.retrieval import lexical_search, query_tokens
+
+    rows = [(1, "ground rod 12", None), (2, "\uff27\uff32\uff2f\uff35\uff2e\uff24 rod \uff11\uff12", None), (3, "nothing", "ground rod"), (4, None, None), (5, "\u1100\u1161", None)]
+    df = spark.createDataFrame(rows, "id long, text string, clause string")
+    got = {r["id"]: r["score"] for r in lexical_search(df, "\uff47round rod", 10, "id", "text", "clause").collect()}
+    assert got[1] == got[2] == 0.833333 and set(got) == {1, 2, 3}
+    assert [r["id"] for r in lexical_search(df, "\uac00", 10, "id", "text", "clause").collect()] == [5]
+    assert query_tokens("\uff21\uff2e\uff24 \u2460") == ["1"] and lexical_search(df, "and", 10, "id", "text").count() == 0

@@ -5,6 +5,9 @@ Fixed values in this module are word lists and patterns that search results depe
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +18,26 @@ OPERATOR_WORDS = ["and", "near", "not", "or"]
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+# Texts of these characters only are composed and compatible already.
+_PLAIN = r"^[\x00-\x7f\uac00-\ud7a3]*$"
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode form NFKC; only texts beyond ASCII and Hangul syllables leave the JVM, each distinct value of a batch once."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        codes, uniques = pd.factorize(texts)
+        forms = [unicodedata.normalize("NFKC", u) for u in uniques]
+        return pd.Series([None if c < 0 else forms[c] for c in codes], dtype=object)
+
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, text).otherwise(form(F.when(~plain, text)))
+
+
 def lexical_tokens(text: Column) -> Column:
-    """Lower-case numbers and letter runs, without operator words; null for null."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1), lambda t: ~t.isin(*OPERATOR_WORDS))
+    """Numbers and letter runs of the lower-case NFKC form, without operator words; null for null."""
+    return F.filter(F.regexp_extract_all(F.lower(nfkc(text)), F.lit(f"({TOKEN})"), 1), lambda t: ~t.isin(*OPERATOR_WORDS))
 
 
 def words(text: Column) -> Column:

@@ -8,12 +8,75 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut
 
-
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+# A rest of at most so many edges (a few MB) is finished by one task; the rounds go on as long as more are left.
+REST_EDGES = 200_000
+
+
+def _whole(edges: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` on one frame of all edges, which the caller has proved few, in one task of an executor."""
+    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: fn(pdf.drop(columns="_all")), schema)
+
+
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """u, v: the smallest node (v) of the component of each node but that one, by union-find."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    rows = [(x, root(x)) for x in up]
+    return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+
+
+def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
+    """node, c: strongly connected components of more than one node or with a loop, by depth-first search without recursion."""
+    nxt: dict = {}
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+        nxt.setdefault(a, []).append(b)
+        nxt.setdefault(b, [])
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for start in nxt:
+        work = [] if start in index else [(start, iter(nxt[start]))]
+        if work:
+            index[start] = low[start] = len(index)
+            stack.append(start), on.add(start)
+        while work:
+            at, ways = work[-1]
+            for to in ways:
+                if to not in index:
+                    index[to] = low[to] = len(index)
+                    stack.append(to), on.add(to)
+                    work.append((to, iter(nxt[to])))
+                    break
+                if to in on:
+                    low[at] = min(low[at], index[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == index[at]:
+                    part = []
+                    while not part or part[-1] != at:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    if len(part) > 1 or at in nxt[at]:
+                        out += [(x, min(part)) for x in part]
+    return pd.DataFrame(out, columns=["node", "c"])
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst", rest: int = REST_EDGES) -> DataFrame:
     """node, component (the smallest node): alternating large-star and small-star rounds.
 
-    Rounds grow with the logarithm of the longest chain. Stars keep only edges to the smallest neighbour,
-    whose minimum is combined before the shuffle, so a node with very many edges is no hot group.
+    Rounds grow with the logarithm of the longest chain. The minimum of a node's neighbours is combined
+    before the shuffle; the join that hands it to their edges is an inner equi-join, which adaptive execution
+    splits where a node has very many edges. At most ``rest`` edges are finished by union-find in one task.
     Null ends are dropped; nodes without edges, if given, are components of their own.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
@@ -21,8 +84,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     seen = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     if nodes is not None:
         seen = seen.union(nodes.select(nodes.columns[0]).where(F.col(nodes.columns[0]).isNotNull()))
-    last = None
-    while True:
+    last, n = None, now.count()
+    while n > rest:
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -33,10 +96,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         after = cut(small)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        now = after
+        now, n = after, mark[0]
         if mark == last:
             break
         last = mark
+    if 0 < n <= rest:
+        now = _whole(now, _united, now.schema.simpleString().removeprefix("struct<").removesuffix(">"))
     return seen.distinct().join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
@@ -65,15 +130,15 @@ def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return kept.select("src", "dst").union(removed.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct(), removed
 
 
-def condense(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, list[DataFrame]]:
-    """(edges, removed by round): trimmed of what lies on no cycle, with chains bypassed.
+def condense(edges: DataFrame, src: str = "src", dst: str = "dst", rest: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, removed by round): trimmed of what lies on no cycle, with chains bypassed, until at most ``rest`` edges are left.
 
     Trimming alone takes a round a level; with chains contracted a path of any length takes logarithmically
     many. The rest is empty exactly if the graph has no directed cycle; a loop stands for a whole cycle.
     """
     now = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
     n, rounds = now.count(), []
-    while n:
+    while n > rest:
         smaller, removed = _contract(cut(_trim(now)), len(rounds))
         now = cut(smaller)
         if not removed.isEmpty():
@@ -85,13 +150,15 @@ def condense(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[Data
     return now, rounds
 
 
-def reference_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def reference_cycles(edges: DataFrame, src: str = "src", dst: str = "dst", rest: int = REST_EDGES) -> DataFrame:
     """node, cycle: strongly connected components of more than one node (cycle: their smallest node).
 
-    The condensed graph is coloured forward to a fixed point; a root's component is what reaches the root
+    Once at most ``rest`` edges are left one task finds the components of these. A larger rest is coloured forward to a fixed point; a root's component is what reaches the root
     within its colour, and the rest goes round again. Bypassed nodes then join their neighbours' component.
     """
-    left, rounds = condense(edges.where(F.col(src) != F.col(dst)), src, dst)
+    left, rounds = condense(edges.where(F.col(src) != F.col(dst)), src, dst, rest)
+    if left.count() <= rest:
+        return _bypassed(cut(_whole(left, _strong, f"node {left.schema['src'].dataType.simpleString()}, c {left.schema['src'].dataType.simpleString()}")), rounds)
     looped, labels = cut(left.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("looped"))), None
     left = _settled(left.where("src <> dst"))
     while not left.isEmpty():
@@ -118,7 +185,11 @@ def reference_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     size = labels.groupBy("c").agg((F.count("*") > 1).alias("many"))
     real = labels.join(size, "c").join(looped, "node", "left")
     keep = real.groupBy("c").agg(F.max(F.col("many") | F.coalesce("looped", F.lit(False))).alias("keep")).where("keep")
-    labels = cut(labels.join(keep.select("c"), "c").select("node", "c"))
+    return _bypassed(cut(labels.join(keep.select("c"), "c").select("node", "c")), rounds)
+
+
+def _bypassed(labels: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """The components with their bypassed nodes, named by the smallest node."""
     for removed in reversed(rounds):
         ends = removed.join(labels.select(F.col("node").alias("before"), F.col("c").alias("cb")), "before").join(labels.select(F.col("node").alias("after"), F.col("c").alias("ca")), "after")
         labels = cut(labels.union(ends.where("ca = cb").select("node", F.col("ca").alias("c"))))
@@ -151,6 +222,29 @@ def neighbours(edges: DataFrame, of: DataFrame, directed: bool = False) -> DataF
     return ways.join(of.select(F.col(of.columns[0]).alias("node")).distinct(), "node", "left_semi").distinct()
 
 
+# The kinds of graph queries.
+QUERY_KINDS = ("FIND_NODE", "FIND_NODES_BY_TYPE", "FIND_NODES_BY_DISPLAY_NAME", "FIND_CONNECTED_NEIGHBORS", "FIND_CONTAINED_NODES", "FIND_REFERENCED_NODES")
+
+
+def query_graph(nodes: DataFrame, edges: DataFrame, kind: str, value: str) -> DataFrame:
+    """The nodes that one query finds, in the order of their ids; an unknown id, type or name finds none.
+
+    nodes: node_id, node_type, display_name; edges: source, target, edge_type. Names compare exactly, and a
+    null name is found by none. Neighbours are one hop away, never the node itself.
+    """
+    if kind not in QUERY_KINDS or not isinstance(value, str) or not value:
+        raise ValueError(f"a graph query is one of {', '.join(QUERY_KINDS)} with a value that is not empty")
+    column = {"FIND_NODE": "node_id", "FIND_NODES_BY_TYPE": "node_type", "FIND_NODES_BY_DISPLAY_NAME": "display_name"}.get(kind)
+    if column:
+        return nodes.where(F.col(column) == value).orderBy("node_id")
+    edge_type = {"FIND_CONNECTED_NEIGHBORS": "CONNECTED", "FIND_CONTAINED_NODES": "CONTAINS", "FIND_REFERENCED_NODES": "REFERENCES"}[kind]
+    mine = edges.where(F.col("edge_type") == edge_type)
+    ids = mine.where(F.col("source") == value).select(F.col("target").alias("node_id"))
+    if kind == "FIND_CONNECTED_NEIGHBORS":
+        ids = ids.union(mine.where(F.col("target") == value).select("source"))
+    return nodes.join(ids.where(F.col("node_id") != value).distinct(), "node_id", "left_semi").orderBy("node_id")
+
+
 def bounded_traversal(edges: DataFrame, seeds: DataFrame, max_hops: int, directions: tuple = ("up", "down")) -> DataFrame:
     """node, hop: breadth first over edges (src superseded, dst superseding) by a frontier of joins."""
     ways = None
@@ -170,43 +264,56 @@ def bounded_traversal(edges: DataFrame, seeds: DataFrame, max_hops: int, directi
     return found
 
 
-def budgeted_subgraph(hops: DataFrame, edges: DataFrame, max_hops: int, max_nodes: int, max_edges: int) -> pd.DataFrame:
+def budgeted_subgraph(seeds: DataFrame, edges: DataFrame, max_hops: int, max_nodes: int, max_edges: int) -> pd.DataFrame:
     """Observations in visiting order under node and edge budgets: node, hop, direction, status, reason, edges.
 
-    ``hops`` is a hop-bounded result; the budgets are constants given by the caller, so at most
-    ``max_nodes`` nodes and their edges are read here, in address order.
+    Nodes are visited hop by hop in the order of their addresses, their edges towards superseding, then
+    superseded records in the order of theirs. An edge that would exceed a budget halts the walk. The
+    budgets are constants given by the caller: a hop reads, of each of its at most ``max_nodes`` nodes and
+    each direction, the first edges only, as many as could be known already and fill the budget.
     """
-    near = hops.orderBy("hop", "node").limit(max_nodes).toPandas()
-    held = hops.orderBy("hop", "node").limit(max_nodes).select("node")
-    up = edges.join(F.broadcast(held), edges.src == held.node, "left_semi").orderBy("src", "dst").limit(2 * (max_nodes + max_edges) + 1).toPandas()
-    down = edges.join(F.broadcast(held), edges.dst == held.node, "left_semi").orderBy("dst", "src").limit(2 * (max_nodes + max_edges) + 1).toPandas()
-    by = {"superseding": up.groupby("src"), "superseded": down.groupby("dst")}
-    nodes, used, out, halted = set(near.node[near.hop == 0]), set(), [], "edge-bound" if max_edges == 0 else None
-    for row in near.itertuples():
-        if row.node not in nodes:
-            continue
-        for direction, groups in by.items():
-            if row.hop >= max_hops:
-                out.append((row.node, row.hop, direction, "NOT_STARTED", "edge-hop-bound", 0))
-                continue
-            if halted:
-                out.append((row.node, row.hop, direction, "NOT_STARTED", halted, 0))
-                continue
-            taken, status = 0, "COMPLETE"
-            for e in groups.get_group(row.node).itertuples() if row.node in groups.groups else ():
-                if (e.src, e.dst) in used:
+    first = 2 * max_edges + 1
+    start = [r[0] for r in seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().orderBy("node").limit(max_nodes + 1).collect()]
+    if len(start) > max_nodes:
+        raise ValueError("more seeds than nodes allowed")
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    nodes, used, out, front, hop = set(start), set(), [], start, 0
+    halted = "edge-bound" if max_edges == 0 else None
+    while front:
+        ways: dict[tuple, list] = {}
+        if hop < max_hops and not halted:
+            here = F.broadcast(spark.createDataFrame([(x,) for x in front], f"node {kind}"))
+            for direction, own, other in (("superseding", "src", "dst"), ("superseded", "dst", "src")):
+                mine = edges.join(here, edges[own] == here.node, "left_semi").select("src", "dst").where("src is not null and dst is not null").distinct()
+                rank = F.row_number().over(Window.partitionBy(own).orderBy(other))
+                for r in mine.withColumn("_n", rank).where(F.col("_n") <= first).orderBy(own, "_n").collect():
+                    ways.setdefault((r[own], direction), []).append((r["src"], r["dst"]))
+        after = []
+        for node in front:
+            for direction in ("superseding", "superseded"):
+                if hop >= max_hops:
+                    out.append((node, hop, direction, "NOT_STARTED", "edge-hop-bound", 0))
                     continue
-                if len(nodes | {e.src, e.dst}) > max_nodes:
-                    halted = "node-bound"
-                elif len(used) >= max_edges:
-                    halted = "edge-bound"
                 if halted:
-                    status = "PARTIAL"
-                    break
-                used.add((e.src, e.dst))
-                nodes |= {e.src, e.dst}
-                taken += 1
-            out.append((row.node, row.hop, direction, status, halted if status == "PARTIAL" else None, taken))
+                    out.append((node, hop, direction, "NOT_STARTED", halted, 0))
+                    continue
+                taken = 0
+                for e in ways.get((node, direction), ()):
+                    if e in used:
+                        continue
+                    unseen = [x for x in dict.fromkeys(e) if x not in nodes]
+                    if len(nodes) + len(unseen) > max_nodes:
+                        halted = "node-bound"
+                    elif len(used) >= max_edges:
+                        halted = "edge-bound"
+                    if halted:
+                        break
+                    used.add(e)
+                    nodes.update(unseen)
+                    after += unseen
+                    taken += 1
+                out.append((node, hop, direction, "PARTIAL" if halted else "COMPLETE", halted, taken))
+        front, hop = sorted(after), hop + 1
     return pd.DataFrame(out, columns=["node", "hop", "direction", "status", "reason", "edges"])
 
 

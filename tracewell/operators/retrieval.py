@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import OPERATOR_WORDS, TOKEN, lexical_score, lexical_tokens, round_half_up, words
+from tracewell.functions.text import OPERATOR_WORDS, TOKEN, lexical_score, lexical_tokens, nfkc, round_half_up, words
 
 MAX_LIMIT, MAX_QUERY, MAX_TOKENS = 100, 4096, 64
 
@@ -16,7 +19,7 @@ def query_tokens(query: str) -> list[str]:
 
     if len(query) > MAX_QUERY:
         raise ValueError(f"a query has at most {MAX_QUERY} characters")
-    raw = regex.findall(TOKEN, query.lower())
+    raw = regex.findall(TOKEN, unicodedata.normalize("NFKC", query).lower())
     if len(raw) > MAX_TOKENS:
         raise ValueError(f"a query has at most {MAX_TOKENS} tokens")
     return list(dict.fromkeys(t for t in raw if t not in OPERATOR_WORDS))
@@ -28,6 +31,9 @@ def lexical_search(chunks: DataFrame, query: str, limit: int, key: str, text: st
         raise ValueError(f"a limit lies between 0 and {MAX_LIMIT}")
     tokens = query_tokens(query)
     clause_tokens = F.coalesce(lexical_tokens(F.col(clause)), F.array().cast("array<string>")) if clause else F.array().cast("array<string>")
+    # Only chunks that hold some token of the query are cut into tokens and scored.
+    held = [F.contains(F.lower(nfkc(F.col(c))), F.lit(t)) for t in tokens for c in ([text, clause] if clause else [text])]
+    chunks = chunks.where(reduce(lambda a, b: a | b, held, F.lit(False)))
     rows = chunks.select(key, lexical_tokens(F.col(text)).alias("_t"), clause_tokens.alias("_c"))
     scored = rows.select(key, lexical_score(tokens, F.col("_t"), F.col("_c")).alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), key).limit(limit)

@@ -43,6 +43,7 @@ MONEY_SPELLINGS = {
     "EUR": ["eur", "€", "유로"], "JPY": ["jpy", "엔", "엔화", "¥"], "CNY": ["cny", "위안", "위안화"],
 }
 BASES = ["m", "kg", "m2", "piece"]
+MOST_CURRENCIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -190,10 +191,14 @@ def unit_prices(listings: DataFrame, rates: DataFrame, keep: list[str]) -> DataF
 def money_table(rates: DataFrame) -> DataFrame:
     """spelling, won: one row per spelling of a currency, so bounded by the currencies quoted.
 
-    The rates table is the one part of the graph that comes with the data; it has one row a currency.
+    The rates table is the one part of the graph that comes with the data; it has one row a currency and is
+    refused beyond ``MOST_CURRENCIES``, never cut.
     """
     spark = rates.sparkSession
-    quoted = [(r[0], "KRW", r[1] / r[2], 0.0) for r in rates.select("currency_code", "won", "quoted_units").distinct().limit(1000).collect() if r[0] != "KRW" and r[1] and r[2]]
+    rows = rates.select("currency_code", "won", "quoted_units").where("currency_code is not null").distinct().limit(MOST_CURRENCIES + 1).collect()
+    if len(rows) > MOST_CURRENCIES:
+        raise ValueError(f"more than {MOST_CURRENCIES} currencies")
+    quoted = [(r[0], "KRW", r[1] / r[2], 0.0) for r in rows if r[0] != "KRW" and r[1] and r[2]]
     edges = [*quoted, ("kKRW", "KRW", 1000.0, 0.0), ("MKRW", "kKRW", 1000.0, 0.0)]
     return conversion_table(spark, edges, ["KRW"], MONEY_SPELLINGS).select("spelling", F.col("scale").alias("won"))
 

@@ -94,9 +94,11 @@ def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the edges hold a cycle, and how many condensed edges are left of it (one a simple cycle)."""
-    left = graph.condense(_edges(spark, sf_dir))[0]
-    return left.agg((F.count("*") > 0).alias("has_cycle"), F.count("*").alias("n_condensed_edges"))
+    """Whether the edges hold a cycle, and how many edges lie on one."""
+    edges = _edges(spark, sf_dir)
+    cycle = graph.reference_cycles(edges)
+    ends = edges.join(cycle.toDF("src", "a"), "src").join(cycle.toDF("dst", "b"), "dst").where("a = b")
+    return ends.agg((F.count("*") > 0).alias("has_cycle"), F.count("*").alias("n_cyclic_edges"))
 
 
 def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +123,10 @@ def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    hops = graph.bounded_traversal(edges, _seeds(spark, sf_dir), 3)
-    return spark.createDataFrame(graph.budgeted_subgraph(hops, edges, 3, 200, 400), "node string, hop int, direction string, status string, reason string, edges long")
+    """What 50 deleted records lead to within 3 hops, 200 records and 150 links, in visiting order."""
+    seeds = _seeds(spark, sf_dir).distinct().orderBy("node").limit(50)
+    found = graph.budgeted_subgraph(seeds, _edges(spark, sf_dir), 3, 200, 150)
+    return spark.createDataFrame(found.astype(object).where(found.notna(), None), "node string, hop int, direction string, status string, reason string, edges long")
 
 
 def supersession_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +374,24 @@ def _relations_sql() -> str:
     )
 
 
+def _subgraph_sql(hops: int, nodes: int, edges: int) -> str:
+    """The walk as windows over the whole visiting sequence: an edge counts where it first occurs, the first excess halts."""
+    return f"""WITH RECURSIVE {_E}, {_SEED}, sd AS (SELECT node FROM seeds ORDER BY node LIMIT 50), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+b AS (SELECT node, 0 AS hop FROM sd UNION SELECT u.dst, b.hop + 1 FROM b JOIN u ON u.src = b.node WHERE b.hop < {hops}),
+v AS (SELECT node, min(hop) AS hop FROM b GROUP BY 1),
+w AS (SELECT hop, node, 1 AS d, src, dst, dst AS o FROM v JOIN e ON e.src = v.node WHERE hop < {hops} UNION ALL SELECT hop, node, 2, src, dst, src FROM v JOIN e ON e.dst = v.node WHERE hop < {hops}),
+q AS (SELECT *, row_number() OVER (ORDER BY hop, node, d, o) AS pos FROM w),
+f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY pos) = 1),
+n AS (SELECT x AS node, min(pos) AS pos FROM (SELECT src AS x, pos FROM f UNION ALL SELECT dst, pos FROM f) WHERE x NOT IN (SELECT node FROM sd) GROUP BY 1),
+c AS (SELECT f.*, row_number() OVER (ORDER BY f.pos) - 1 AS before, (SELECT count(*) FROM sd) + (SELECT count(*) FROM n WHERE n.pos <= f.pos) AS total FROM f),
+h AS (SELECT pos, hop, node, d, CASE WHEN total > {nodes} THEN 'node-bound' ELSE 'edge-bound' END AS reason FROM c WHERE total > {nodes} OR before >= {edges} ORDER BY pos LIMIT 1),
+k AS (SELECT node, 0 AS hop FROM sd UNION ALL SELECT n.node, v.hop FROM n JOIN v USING (node) WHERE n.pos < coalesce((SELECT pos FROM h), 9223372036854775807)),
+s AS (SELECT k.node, k.hop, t.d, t.direction, (SELECT (k.hop, k.node, t.d) > (h.hop, h.node, h.d) FROM h) AS late, (SELECT (k.hop, k.node, t.d) = (h.hop, h.node, h.d) FROM h) AS here FROM k, (VALUES (1, 'superseding'), (2, 'superseded')) t(d, direction))
+SELECT node, CAST(hop AS INTEGER) AS hop, direction, CASE WHEN hop >= {hops} OR late THEN 'NOT_STARTED' WHEN here THEN 'PARTIAL' ELSE 'COMPLETE' END AS status,
+CASE WHEN hop >= {hops} THEN 'edge-hop-bound' WHEN late OR here THEN (SELECT reason FROM h) END AS reason,
+CASE WHEN hop >= {hops} OR late THEN 0 ELSE (SELECT count(*) FROM f WHERE f.node = s.node AND f.d = s.d AND f.pos < coalesce((SELECT pos FROM h), 9223372036854775807)) END AS edges FROM s"""
+
+
 SQL = {
     "upsert_latest": f"WITH {_OB} SELECT o_orderkey, o_orderstatus FROM new UNION ALL SELECT o_orderkey, o_orderstatus FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)",
     "replace_source": f"WITH {_OB} SELECT o_orderkey, o_custkey, o_orderstatus FROM new UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM old WHERE o_custkey NOT IN (SELECT o_custkey FROM new)",
@@ -394,7 +415,8 @@ SELECT CASE WHEN stop IS NULL OR o_orderkey < stop THEN 'SUCCEEDED' WHEN o_order
     "graph_components": f"""WITH RECURSIVE {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c AS (SELECT src AS node, src AS other FROM u UNION SELECT c.node, u.dst FROM c JOIN u ON u.src = c.other)
 SELECT node, min(other) AS component FROM c GROUP BY 1""",
     "reference_cycles": f"WITH RECURSIVE {_CYC} SELECT s AS node, m AS cycle FROM low WHERE n > 1",
-    "containment_check": f"WITH RECURSIVE {_CYC} SELECT count(*) > 0 AS has_cycle, count(DISTINCT m) AS n_condensed_edges FROM low",
+    "containment_check": f"WITH RECURSIVE {_CYC}, lab AS (SELECT s, m FROM low WHERE n > 1) SELECT count(*) > 0 AS has_cycle, count(*) AS n_cyclic_edges FROM e JOIN lab a ON a.s = e.src JOIN lab b ON b.s = e.dst WHERE a.m = b.m",
+    "bounded_subgraph": _subgraph_sql(3, 200, 150),
     "graph_neighbors": f"""WITH {_E}, a AS (SELECT DISTINCT decision_namespace || '/' || record_key AS node FROM decision_records WHERE decision_namespace = 'annex')
 SELECT src AS node, dst AS neighbour FROM e JOIN a ON a.node = e.src UNION SELECT dst, src FROM e JOIN a ON a.node = e.dst""",
     "graph_contained": f"""WITH {_E}, a AS (SELECT DISTINCT decision_namespace || '/' || record_key AS node FROM decision_records WHERE decision_namespace = 'annex')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,6 +196,26 @@ QUERIES = {
 }
 
 _CH = "ch AS (SELECT DISTINCT * FROM kec_chunks)"
+# Compatibility decompositions, character by character, from the Unicode rule; composing them gives NFKC.
+_COMPAT = ", ".join(
+    f"(chr({c}), '{unicodedata.normalize('NFKD', chr(c)).replace(chr(39), chr(39) * 2)}')"
+    for c in range(0x80, 0x20000) if unicodedata.decomposition(chr(c)).startswith("<")
+)
+
+
+def _nfkc_sql(name: str, table: str, key: str, *columns: str) -> str:
+    """CTEs that end in ``name``: the columns of ``table`` by ``key`` in form NFKC."""
+    parts = [f"{name}_m(c, k) AS (VALUES {_COMPAT})"]
+    for col in columns:
+        parts.append(
+            f"{name}_{col} AS (SELECT {key}, nfc_normalize(string_agg(coalesce(k, x.c), '' ORDER BY i)) AS {col} FROM (SELECT {key}, unnest(string_split({col}, '')) AS c, generate_subscripts(string_split({col}, ''), 1) AS i "
+            f"FROM (SELECT DISTINCT {key}, {col} FROM {table} WHERE NOT regexp_full_match({col}, '[\\x00-\\x7f가-힣]*'))) x LEFT JOIN {name}_m m ON m.c = x.c GROUP BY 1)"
+        )
+    joins = " ".join(f"LEFT JOIN {name}_{col} USING ({key})" for col in columns)
+    form = ", ".join(f"coalesce({name}_{col}.{col}, t.{col}) AS {col}" for col in columns)
+    return ", ".join(parts) + f", {name} AS (SELECT DISTINCT t.{key}, {form} FROM {table} t {joins})"
+
+
 _TOK = "list_filter(regexp_extract_all(lower({0}), '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?|\\p{{L}}+'), lambda t: t NOT IN ('and', 'near', 'not', 'or'))"
 _SP = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 _R6 = "(floor(({0}) * 1000000.0 + 0.5) / 1000000.0 + 0.0)"
@@ -207,8 +229,8 @@ def _lexical_sql(tokens: list[str]) -> str:
         f"len(list_filter({q}, lambda x: list_contains(t, x) OR list_contains(c, x))) / {float(n)} * 0.55 + CASE WHEN {seq('t')} OR {seq('c')} THEN 0.25 ELSE 0.0 END"
         f" + list_sum(list_transform({q}, lambda x: least(len(list_filter(t, lambda y: y = x)), 3))) / {float(3 * n)} * 0.10 + CASE WHEN c = {q} THEN 0.10 ELSE 0.0 END"
     )
-    return f"""lexical AS (SELECT chunk_seq, {_R6.format(score)} AS score
-FROM (SELECT DISTINCT chunk_seq, {_TOK.format('text')} AS t, coalesce({_TOK.format('clause')}, CAST([] AS VARCHAR[])) AS c FROM kec_chunks)
+    return f"""{_nfkc_sql('norm', 'kec_chunks', 'chunk_seq', 'text', 'clause')}, lexical AS (SELECT chunk_seq, {_R6.format(score)} AS score
+FROM (SELECT DISTINCT chunk_seq, {_TOK.format('text')} AS t, coalesce({_TOK.format('clause')}, CAST([] AS VARCHAR[])) AS c FROM norm)
 WHERE len(list_filter({q}, lambda x: list_contains(t, x) OR list_contains(c, x))) > 0 ORDER BY score DESC, chunk_seq LIMIT {LIMIT})"""
 
 
@@ -267,8 +289,9 @@ ORDER BY score DESC, s.similarity IS NULL, s.similarity DESC, l.score IS NULL, l
     "placeholder_embed": "SELECT doc_id, "
     + ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in g)} THEN 1.0 ELSE 0.0 END::DOUBLE AS v{i}" for i, g in enumerate(GROUPS))
     + ", CASE WHEN trim(text) <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS v3 FROM documents WHERE text IS NOT NULL",
-    "tokenize_stats": f"""SELECT doc_id, len({_TOK.format('text')}) AS tokens, len(list_distinct({_TOK.format('text')})) AS distinct_tokens,
-len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS words FROM documents WHERE text IS NOT NULL""",
+    "tokenize_stats": f"""WITH {_nfkc_sql('norm', 'documents', 'doc_id', 'text')}
+SELECT doc_id, len({_TOK.format('n.text')}) AS tokens, len(list_distinct({_TOK.format('n.text')})) AS distinct_tokens,
+len(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+')) AS words FROM documents d JOIN norm n USING (doc_id) WHERE d.text IS NOT NULL""",
     "bigram_similarity": f"""WITH g AS (SELECT p_partkey, lower(p_name) a, lower(p_type) b,
 list_distinct(list_transform(range(1, length(lower(p_name))), lambda i: substr(lower(p_name), i, 2))) ga, list_distinct(list_transform(range(1, length(lower(p_type))), lambda i: substr(lower(p_type), i, 2))) gb FROM part)
 SELECT p_partkey, {_R6.format("CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) WHEN greatest(len(ga), len(gb)) = 0 THEN 0.0 ELSE len(list_intersect(ga, gb)) / greatest(len(ga), len(gb)) END")} AS similarity FROM g""",

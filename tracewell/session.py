@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, memory: str = "20g") -> SparkSession:
+def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -18,6 +19,7 @@ def local_session(cpus: int = 8, memory: str = "20g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,11 +29,13 @@ def local_session(cpus: int = 8, memory: str = "20g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder named by ``spark.checkpoint.dir``; choose one only where none is set."""
+    """Keep the shared folder named by ``spark.checkpoint.dir``; a local master alone may do without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
 
 
