@@ -19,6 +19,16 @@ def test_search_improves_on_the_start():
     assert len(pack(sizes, 100)) == 3
 
 
+def test_two_for_one_beyond_any_number_of_items():
+    """The exchange that empties a container may take any two of its items."""
+    from tracewell.llm.packing import _offers
+
+    sizes = np.array([1] * 40 + [7, 9], np.int64)
+    totals, groups = _offers(sizes, np.arange(42))
+    assert totals.tolist() == [1, 2, 7, 8, 9, 10, 16] and all(sizes[list(g)].sum() == t for t, g in zip(totals, groups))
+    assert all(len(set(g)) == len(g) for g in groups)
+
+
 def test_containers(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(s), "x") for i, s in enumerate(rng.integers(1, 900, 400))] + [(900, 5000, "x"), (901, 2048, "x"), (902, 4096, "x"), (903, None, "x"), (904, 0, "x"), (None, 5, "x"), (900, 5000, "x")]

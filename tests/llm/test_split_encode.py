@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from tracewell.llm.encode import decode_ids, encode_corpus, encode_ids, load, vocabulary
 from tracewell.llm.lookalikes import consistent_forms
-from tracewell.llm.split import split_items, split_text
+from tracewell.llm.split import split_by_tokens, split_items, split_text, token_edges
 
 TEXT = st.text(alphabet=st.sampled_from("ab. \n\r다|,가😀"), max_size=400)
 
@@ -34,6 +34,35 @@ def test_split_items(spark):
     assert split_items(spark.createDataFrame([], "id string, text string"), "text", ["id"]).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(TEXT, st.integers(12, 40), st.integers(0, 4))
+def test_pieces_of_tokens(text, limit, overlap):
+    """Sizes in tokens: pieces cover the text, cut no character, hold at most the limit, and are the text itself below it."""
+    edges = token_edges(text, vocabulary())
+    pieces = split_text(text, limit, overlap, edges)
+    assert "".join(text[p["fresh"] : p["end"]] for p in pieces) == text
+    assert all(p["units"] <= limit and p["piece"] == text[p["start"] : p["end"]] for p in pieces)
+    assert all(0 <= a["end"] - b["start"] and a["end"] == b["fresh"] for a, b in zip(pieces, pieces[1:]))
+    assert (len(pieces) == 1) == (len(edges) - 1 <= limit)
+
+
+def test_split_by_tokens(spark):
+    rows = [("a", "Sentence one is here. " * 60, "x"), ("a", "Sentence one is here. " * 60, "x"), ("b", "short", "y"), ("c", None, "z"), ("d", "", "z")]
+    out = split_by_tokens(spark.createDataFrame(rows, "id string, text string, piece string"), "text", ["id"], 100, 10).orderBy("id", "piece_index").collect()
+    assert {r.id for r in out} == {"a", "b", "d"} and [r.units for r in out if r.id != "a"] == [1, 0]
+    mine = [r for r in out if r.id == "a"]
+    assert len(mine) > 2 and all(r.units <= 100 and r.n_pieces == len(mine) for r in mine) and all(r.piece.rstrip().endswith(".") for r in mine)
+    assert split_by_tokens(spark.createDataFrame([], "id string, text string"), "text", ["id"], 100, 10).count() == 0
+
+
+def test_counts_are_the_encoder_s(spark):
+    from tracewell.llm.encode import count_tokens
+
+    df = spark.createDataFrame([*DOCS, (6, "don't  stop\u00a0 now\r\n x" + "y" * 3000)], "id long, text string")
+    got = {r.id: r.n for r in df.select("id", count_tokens("text").alias("n")).collect()}
+    assert got == {r["id"]: len(r["ids"]) for r in encode_corpus(df, "id", "text").collect()}
+
+
 DOCS = [(1, "Hello, world <|endoftext|> 😀 접지"), (1, "Hello, world <|endoftext|> 😀 접지"), (2, None), (3, ""), (4, " \n\t "), (5, "가나다" * 20000)]
 
 

@@ -86,15 +86,31 @@ def encode_ids(text: str | Column, path: str | None = None) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+# Fixed value: how byte-level vocabularies of this kind cut a text into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=2)
+def load_ranks(path: str):
+    """The same vocabulary as ranks, for counting: pieces of text that occur again are not merged again."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def count_tokens(text: str | Column, path: str | None = None) -> Column:
-    path = path or vocabulary()
+    """Tokens of each text, without special tokens; null and empty texts have none."""
+    path = path or vocabulary(file=BYTE_RANKS)
 
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
-        tokenizer, out = load(path), []
-        for part in slices([t or "" for t in texts]):
-            out += [len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        return pd.Series(out, dtype="int32")
+        encoding = load_ranks(path)
+        return pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 
     return run(F.col(text) if isinstance(text, str) else text)
 
@@ -102,9 +118,10 @@ def count_tokens(text: str | Column, path: str | None = None) -> Column:
 def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, offsets: bool = False) -> DataFrame:
     """key, ids (and starts, ends: character offsets of each token), one row per distinct document."""
     path = path or vocabulary()
-    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("body"))
+    # Repeats go before their texts are encoded; of different texts under one key the greatest stays.
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("body")).groupBy("doc").agg(F.max("body").alias("body"))
     if not offsets:
-        return rows.select(F.col("doc").alias(key), encode_ids("body", path).alias("ids")).dropDuplicates([key])
+        return rows.select(F.col("doc").alias(key), encode_ids("body", path).alias("ids"))
 
     def run(batches):
         tokenizer = load(path)
@@ -121,7 +138,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None, o
             )
 
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc", key).dropDuplicates([key])
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc", key)
 
 
 def decode_ids(ids: str | Column, path: str | None = None) -> Column:

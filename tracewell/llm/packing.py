@@ -6,7 +6,7 @@ decreasing and is then improved by swap-based local search on its underfull cont
 one-for-one and two-for-one exchanges that take from the emptiest container and fill the others, each
 raising the sum of squared fills, until containers fall empty or the block needs no more than the whole
 number of containers its total demands. What is left in underfull containers goes into the next, coarser
-round of blocks, until one block is left or a round saves nothing.
+round of blocks, until one block is left or after ``ROUNDS`` rounds.
 
 Defined cases: null sizes and sizes below one need no container and give no row; repeated items count
 once; equal sizes are taken in the order of their ids; an empty table gives no containers.
@@ -86,16 +86,14 @@ def _empty_one(sizes, home, fill, open_, donor, capacity) -> bool:
         others = np.flatnonzero((home != donor) & (free[home] > 0))
         if not len(others):
             return False
-        best, swap = 0, None
-        room = free[home[others]]
-        one = [(int(sizes[i]), (i,)) for i in mine]
-        two = [(int(sizes[i] + sizes[j]), (i, j)) for a, i in enumerate(mine[:24]) for j in mine[a + 1 : 24]]
-        for total, group in one + two:
-            gain = total - sizes[others]
-            gain[(gain <= 0) | (gain > room)] = 0
-            at = int(np.argmax(gain))
-            if gain[at] > best:
-                best, swap = int(gain[at]), (group, others[at])
+        totals, groups = _offers(sizes, mine)
+        # For each other item the largest offer that its container still holds once the item is gone.
+        at = np.searchsorted(totals, sizes[others] + free[home[others]], side="right") - 1
+        gain = np.where(at >= 0, totals[np.maximum(at, 0)] - sizes[others], 0)
+        place = int(np.argmax(gain))
+        best, swap = int(gain[place]), None
+        if best > 0:
+            swap = groups[at[place]], others[place]
         # An exchange pays while the other container ends up fuller than the donor was.
         if swap is None or fill[home[swap[1]]] + best <= fill[donor]:
             return False
@@ -108,6 +106,24 @@ def _empty_one(sizes, home, fill, open_, donor, capacity) -> bool:
     return True
 
 
+def _offers(sizes: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """(totals in rising order, items) of every different total that one or two of a container's items make.
+
+    Items of one size are alike, and a container holds under 2 * sqrt(capacity) different sizes, so all pairs are few.
+    """
+    by: dict[int, list[int]] = {}
+    for i in mine:
+        by.setdefault(int(sizes[i]), []).append(int(i))
+    made: dict[int, tuple] = {s: (items[0],) for s, items in by.items()}
+    kinds = sorted(by)
+    for n, a in enumerate(kinds):
+        for b in kinds[n:]:
+            if a != b or len(by[a]) > 1:
+                made.setdefault(a + b, (by[a][0], by[b][0] if a != b else by[a][1]))
+    totals = sorted(made)
+    return np.array(totals), [made[t] for t in totals]
+
+
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(sizes, best_fit_decreasing(sizes, capacity), capacity) if len(sizes) else []
 
@@ -146,18 +162,14 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int = CAPAC
             break
         blocks = -(-n // block)
         spread = waiting.withColumn("block", F.pmod(F.xxhash64("item", F.lit(stage)), F.lit(blocks)))
-        packed = cut(spread.groupBy("block").applyInPandas(packer(stage), schema))
+        packed = cut(spread.repartition(blocks, "block").groupBy("block").applyInPandas(packer(stage), schema))
         last = blocks == 1 or stage == rounds - 1
         keep = F.lit(True) if last else F.col("fill") >= capacity * _UNDERFULL
         done.append(packed.where(keep).drop("fill"))
         if last:
             break
         waiting = packed.where(~keep).select("item", "part", "start", "size")
-        before, n = n, waiting.count()
-        if n > 0.9 * before:
-            # Containers of such items do not fill up: another round would only shuffle them about.
-            done.append(packed.where(~keep).drop("fill"))
-            break
+        n = waiting.count()
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d.select(out.columns))
