@@ -18,35 +18,24 @@ WORDS = {
     "temper": {"soft": ["soft", "annealed", "연질"], "hard": ["hard-drawn", "hard", "경질"]},
     "form": {"gel": ["gel", "겔형"], "powder": ["powder", "분말"]},
 }
-# Phrases that hold attribute words or numbers but state none.
-_NOISE = [
-    r"(?:accessory kit )?also fits \S+(?: [a-z]\d{3}\b)?", r"replaces \S+(?: [a-z]\d{3}\b)?", r"\S*\d(?: [a-z]\d{3})? 호환", r"φ\s?\d+ hole", r"\bip\d\d\b",
-    r"사용온도 -?\d+~\d+ ?°c", r"r ≤ \d+ ?ω", r"tolerance ±[\d.]+ ?μm",
-    r"@ .*?\d[\d,.]*\s?/\s?(?:\d+ ?)?(?:sq ft|[^\s|;,]+(?: m²| m2)?)", r"price \S+(?: krw)? [\d,.]+ per (?:\d+ ?)?(?:sq ft|[^\s|;,]+)", r"단가 [\d,.]+ \S+(?: krw)? ?/ ?(?:\d+ ?)?(?:sq ft|[^\s|;,]+)",
-    r"\d+ ?(?:ea|개|pcs)/box", r"1박스 \d+개입", r"\d+개 묶음가", r"\d+ ?(?:ea|개) 기준 단가", r"price per (?:dozen|piece|lb|ft|sq ft|\S+)", r"per piece", r"개당|m²당|m2당|m당|kg당",
-    r"rate for \d+ ?km", r"\(per \d+ ?m\)", r"단가기준 \d+ ?m", r"per \d+ ?kg", r"톤당 단가|km당 단가", r"priced by the metre", r"\d+ m²? 기준|\d+ m2 기준",
-    r"1롤=\d+ ?m[²2]?", r"\d+ ?m[²2]?/r/l", r"\d+ ?m[²2]? ?/ ?r/l", r"\d+ ?m[²2]? per roll", r"amount in thousand won|단위: 천원|원화 기준|prices in \w+|\(엔화\)|eur 단가",
-    r"bare copper wire|copper cable|동 케이블|나동선|나연동선|접지동봉|low-voltage cable|optima 라인",
-]
-_NOISE_RE = re.compile("|".join(f"(?:{p})" for p in _NOISE))
 _N = r"(\d+(?:\.\d+)?)"
 _B = r"(?<![\w.])"
 _NUMBERS = [
     ("size", re.compile(rf"{_B}{_N} ?[x×*] ?{_N} ?(mm|cm|m)\b"), None),
     ("size", re.compile(rf"{_B}w ?{_N} ?h ?{_N}\b"), None),
     ("length_mm", re.compile(rf"(?:\bl ?= ?|길이 ?|\blength ){_N} ?(mm|cm|m)\b"), {"mm": 1, "cm": 10, "m": 1000}),
-    ("area_mm2", re.compile(rf"{_B}{_N} ?(?:mm²|mm2|sq)(?![a-z])"), None),
+    ("area_mm2", re.compile(rf"{_B}{_N} ?(?:mm²|mm2|sq)(?![a-z\d])"), None),
     ("pack_kg", re.compile(rf"(?:bag of |pack ){_N} ?kg|{_B}{_N} ?kg ?(?:/ ?포|포장)"), None),
-    ("thick_mm", re.compile(rf"{_B}{_N} ?(mm|cm)(?![a-z²2])"), {"mm": 1, "cm": 10}),
-    ("volt", re.compile(rf"{_B}{_N} ?(kv|v)(?![a-z])"), {"kv": 1000, "v": 1}),
-    ("kva", re.compile(rf"{_B}{_N} ?(mva|kva)\b"), {"mva": 1000, "kva": 1}),
-    ("ka", re.compile(rf"{_B}{_N} ?ka\b"), None),
-    ("amp", re.compile(rf"{_B}{_N} ?(?:amp|at|a)(?![a-z])"), None),
-    ("watt", re.compile(rf"{_B}{_N} ?(kw|w)(?![a-z])"), {"kw": 1000, "w": 1}),
-    ("kelvin", re.compile(rf"{_B}{_N} ?k(?![a-z])"), None),
-    ("poles", re.compile(rf"{_B}{_N} ?-?(?:poles?|p|극)(?![a-z])"), None),
-    ("cores", re.compile(rf"{_B}{_N} ?-?(?:cores?|c|심)(?![a-z])"), None),
-    ("cells", re.compile(rf"{_B}{_N} ?-?(?:cells?|셀)(?![a-z])"), None),
+    ("thick_mm", re.compile(rf"{_B}{_N} ?(mm|cm)(?![a-z²\d])"), {"mm": 1, "cm": 10}),
+    ("volt", re.compile(rf"{_B}{_N} ?(kv|v)(?![a-z\d])"), {"kv": 1000, "v": 1}),
+    ("kva", re.compile(rf"{_B}{_N} ?(mva|kva)(?![a-z\d])"), {"mva": 1000, "kva": 1}),
+    ("ka", re.compile(rf"{_B}{_N} ?ka(?![a-z\d])"), None),
+    ("amp", re.compile(rf"{_B}{_N} ?(?:amp|at|a)(?![a-z\d])"), None),
+    ("watt", re.compile(rf"{_B}{_N} ?(kw|w)(?![a-z\d])"), {"kw": 1000, "w": 1}),
+    ("kelvin", re.compile(rf"{_B}{_N} ?k(?![a-z\d])"), None),
+    ("poles", re.compile(rf"{_B}{_N} ?-?(?:poles?|p|극)(?![a-z\d])"), None),
+    ("cores", re.compile(rf"{_B}{_N} ?-?(?:cores?|c|심)(?![a-z\d])"), None),
+    ("cells", re.compile(rf"{_B}{_N} ?-?(?:cells?|셀)(?![a-z\d])"), None),
 ]
 _WORDS = [
     (kind, value, re.compile("|".join(rf"(?<![\w-]){re.escape(w)}(?![\w-])" for w in words))) for kind, values in WORDS.items() for value, words in values.items()
@@ -57,9 +46,11 @@ def _number(x: float) -> str:
     return f"{x:.6g}"
 
 
-def read_attributes(text: str) -> dict[str, str]:
-    """kind to value; a kind with contradicting values is left out. ``text`` is folded and lower case."""
-    text = _NOISE_RE.sub(" ", text)
+def read_attributes(text: str) -> dict[str, list[str]]:
+    """kind to all values stated, sorted; ``text`` is folded and lower case.
+
+    What a number belongs to (the product, its package, its price) is not decided here.
+    """
     seen: dict[str, set[str]] = {}
     for kind, pattern, scale in _NUMBERS:
         taken = False
@@ -77,4 +68,4 @@ def read_attributes(text: str) -> dict[str, str]:
     for kind, value, pattern in _WORDS:
         if pattern.search(text):
             seen.setdefault(kind, set()).add(value)
-    return {kind: next(iter(values)) for kind, values in seen.items() if len(values) == 1}
+    return {kind: sorted(values) for kind, values in seen.items()}
