@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import cut
+from tracewell.session import cut, shuffle_width
 
 LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_SHARE = 1 << 15, 1 << 20, 256
 LEAF, BRANCH, COPIES = 4096, 128, 16
@@ -465,7 +465,9 @@ def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: i
         return pa.table({"id": pa.array(ids[starts]), "near": pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pairs)})
 
     spread = rows.mapInArrow(scatter, "grp string, branch long, stored boolean, ids binary, vecs binary")
-    local = spread.groupBy("grp", "branch").applyInArrow(within, "id long, near array<struct<s:double,n:long>>")
+    # A task's share does not grow with the table: a few branches each, whatever the session's shuffle width.
+    width = max(shuffle_width(df.sparkSession), sum(t.leaves for t in trees.values()) // 2)
+    local = spread.repartition(width, "grp", "branch").groupBy("grp", "branch").applyInArrow(within, "id long, near array<struct<s:double,n:long>>")
     best = local.groupBy("id").agg(best_of("near", k).alias("r")).select("id", F.explode("r").alias("r"))
     best = best.select("id", F.col("r.n").alias("neighbour"), (-F.col("r.s")).alias("similarity"))
     return best if spare is None else best.unionByName(spare)

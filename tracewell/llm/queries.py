@@ -10,14 +10,14 @@ from tracewell.llm.listings import product_keys, same_product_pairs
 from tracewell.llm.lookalikes import consistent_forms
 from tracewell.llm.neighbours import measured_recall, mutual_pairs, nearest_neighbours
 from tracewell.llm.packing import fill_containers
-from tracewell.llm.split import split_items
+from tracewell.llm.split import split_by_tokens, split_items
 from tracewell.llm.subjects import document_subjects, label_agreement, sentence_subjects, topic_table
 from tracewell.sources import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "kec_chunks")
-    pieces = split_items(chunks, "text", ["collection", "chunk_id", "clause"], oversized_only=True)
+    pieces = split_items(chunks, "text", ["collection", "chunk_id", "clause"])
     return pieces.where("n_pieces > 1").select("collection", "chunk_id").distinct()
 
 
@@ -26,6 +26,12 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(chunks, "text", ["collection", "chunk_id", "clause"], oversized_only=True)
 
 
+def p3_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk in pieces of at most 384 tokens of byte_bpe_50k, each after the first with 48 tokens of the one before."""
+    chunks = table(spark, sf_dir, "kec_chunks")
+    return split_by_tokens(chunks, "text", ["collection", "chunk_id", "clause"], 384, 48)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_product_pairs(product_keys(table(spark, sf_dir, "material_knowledge_metadata")))
 
@@ -115,7 +121,7 @@ def p10_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_table(*_subject_inputs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p6_recall, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences, p10_agreement, p10_topics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_token_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p6_recall, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_sentences, p10_agreement, p10_topics)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT collection, chunk_id FROM kec_chunks WHERE length(text) > 1200",
