@@ -29,11 +29,12 @@ def test_drawing_lists(spark):
     heads = [(1, "number", 10.0, 5.0), (1, "title", 20.0, 5.0), (1, "number", 110.0, 5.0), (1, "title", 120.0, 5.0), (1, "scale_a1", 40.0, 5.0), (2, "number", 1.0, 1.0)]
     rows = inference.header_anchors(spark.createDataFrame(heads, "page int, kind string, x double, y double")).orderBy("block").collect()
     assert [(r["number_x"], r["title_x"], r["scale_a1_x"], r["right_bound"]) for r in rows] == [(10.0, 20.0, 40.0, 110.0), (110.0, 120.0, None, None)]
-    n = spark.createDataFrame([("n1", 10.0), ("n2", 50.0), ("n3", 90.0)], "number_id string, at double")
-    t = spark.createDataFrame([("t1", 12.0), ("t2", 47.0), ("t3", 53.0)], "title_id string, at double")
-    got = {r[0]: (r[1], r[2]) for r in inference.match_titles(n, t).collect()}
+    n = spark.createDataFrame([(1, "n1", 10.0), (1, "n2", 50.0), (1, "n3", 90.0), (2, "n1", 12.0)], "page int, number_id string, at double")
+    t = spark.createDataFrame([(1, "t1", 12.0), (1, "t2", 47.0), (1, "t3", 53.0)], "page int, title_id string, at double")
+    got = {r[1]: (r[2], r[3]) for r in inference.match_titles(n, t).where("page = 1").collect()}
+    assert [(r.title_id, r.n_ties) for r in inference.match_titles(n, t).where("page = 2").collect()] == [(None, 0)]
     assert got == {"n1": ("t1", 1), "n2": (None, 2), "n3": (None, 0)}
-    s = inference.match_scales(spark.createDataFrame([("r", 10.0, 10.0)], "row_id string, x double, y double"), spark.createDataFrame([("1/100", 12.0, 20.0), ("1/50", 11.0, 24.0), ("1/1", 11.0, 40.0)], "scale string, x double, y double"))
+    s = inference.match_scales(spark.createDataFrame([(1, "r", 10.0, 10.0)], "page int, row_id string, x double, y double"), spark.createDataFrame([(1, "1/100", 12.0, 20.0), (1, "1/50", 11.0, 24.0), (1, "1/1", 11.0, 40.0), (2, "1/9", 10.0, 10.0)], "page int, scale string, x double, y double"))
     assert s.collect()[0]["scale"] == "1/50"
 
 

@@ -80,20 +80,21 @@ def header_anchors(headers: DataFrame) -> DataFrame:
 
 
 def match_titles(numbers: DataFrame, titles: DataFrame, width: float = 6.0) -> DataFrame:
-    """number_id, title_id: the title group nearest to each number row, null where two tie within 0.001.
+    """page, number_id, title_id, n_ties: the title row of the page nearest to each number row, null where two tie within 0.001.
 
-    numbers: number_id, at; titles: title_id, at, both positions along one axis of one page.
+    numbers: page, number_id, at; titles: page, title_id, at, both positions along one axis.
     """
-    near = nearest_in_band(numbers, titles, "number_id", "at", "title_id", "at", width)
-    return numbers.select("number_id").join(near, "number_id", "left").select("number_id", F.when(F.col("n_ties") == 1, F.col("title_id")).alias("title_id"), F.coalesce("n_ties", F.lit(0)).alias("n_ties"))
+    near = nearest_in_band(numbers, titles, "number_id", "at", "title_id", "at", width, by=["page"])
+    found = numbers.select("page", "number_id").join(near, ["page", "number_id"], "left")
+    return found.select("page", "number_id", F.when(F.col("n_ties") == 1, F.col("title_id")).alias("title_id"), F.coalesce("n_ties", F.lit(0)).alias("n_ties"))
 
 
 def match_scales(rows: DataFrame, scales: DataFrame, dx: float = 6.0, dy: float = 15.0) -> DataFrame:
-    """row_id, scale: the scale text nearest to a row by horizontal, then vertical distance, in a box of the two reaches."""
-    lhs = rows.select("row_id", F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_x") / dx) + d for d in (-1, 0, 1)])))
-    rhs = scales.select("scale", "x", "y").withColumn("_b", F.floor(F.col("x") / dx))
-    near = lhs.join(rhs, "_b").withColumn("_dx", F.abs(F.col("_x") - F.col("x"))).withColumn("_dy", F.abs(F.col("_y") - F.col("y"))).where((F.col("_dx") <= dx) & (F.col("_dy") <= dy))
-    return near.groupBy("row_id").agg(F.min_by("scale", F.struct("_dx", "_dy", "scale")).alias("scale"))
+    """page, row_id, scale: the scale text of the page nearest to a row by horizontal, then vertical distance, in a box of the two reaches."""
+    lhs = rows.select("page", "row_id", F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_x") / dx) + d for d in (-1, 0, 1)])))
+    rhs = scales.select("page", "scale", "x", "y").withColumn("_b", F.floor(F.col("x") / dx))
+    near = lhs.join(rhs, ["page", "_b"]).withColumn("_dx", F.abs(F.col("_x") - F.col("x"))).withColumn("_dy", F.abs(F.col("_y") - F.col("y"))).where((F.col("_dx") <= dx) & (F.col("_dy") <= dy))
+    return near.groupBy("page", "row_id").agg(F.min_by("scale", F.struct("_dx", "_dy", "scale")).alias("scale"))
 
 
 def drawing_confidence(base: float = 0.8):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,76 @@ def markdown_report(title: str, sections: list[tuple[str, DataFrame, list[str],
         parts = head.unionByName(rows) if parts is None else parts.unionByName(head).unionByName(rows)
     body = parts.agg(F.array_sort(F.collect_list(F.struct("s", "n", "line"))).alias("all"))
     return body.select(F.concat(F.lit(f"# {title}\n"), F.array_join(F.col("all.line"), "\n")).alias("markdown"))
+
+
+# Words of a request that command and name nothing.
+REQUEST_WORDS = [
+    "관련", "kec", "기준", "기준으로", "기준에", "도면", "도면을", "도면를", "도면이", "도면가", "도면은", "도면는", "찾아", "찾아서", "찾아줘", "찾아주세요", "검색", "검색해줘",
+    "검색해주세요", "검토", "검토해", "검토해줘", "검토해주세요",
+]
+
+
+def request_query(request: str) -> str:
+    """What a request asks for, without its commands; refused where nothing is left."""
+    text = regex.sub(r"[^\p{L}\p{N}.㎡/()~-]+", " ", unicodedata.normalize("NFKC", request))
+    query = " ".join(t for t in text.split() if t.lower() not in REQUEST_WORDS)
+    if not query:
+        raise ValueError("a request must name what to search for")
+    return query
+
+
+def select_top(results: DataFrame, request: list[str], score: str, name: str) -> DataFrame:
+    """request.., selection (selected, ambiguous), n_tied, name (null when several tie): the best result of each request."""
+    top = results.groupBy(*request).agg(F.max(score).alias("_top"))
+    tied = results.join(top, request).where(F.col(score) == F.col("_top")).groupBy(*request).agg(F.count("*").alias("n_tied"), F.min(name).alias(name))
+    return tied.select(*request, F.when(F.col("n_tied") == 1, "selected").otherwise("ambiguous").alias("selection"), "n_tied", F.when(F.col("n_tied") == 1, F.col(name)).alias(name))
+
+
+def review_requests(requests: DataFrame, results: DataFrame, request: str, score: str, name: str) -> DataFrame:
+    """One row a request: the selection, or not-found where the search gave nothing."""
+    best = select_top(results, [request], score, name)
+    return requests.select(request).distinct().join(best, request, "left").select(request, F.coalesce("selection", F.lit("not-found")).alias("selection"), F.coalesce("n_tied", F.lit(0)).alias("n_tied"), name)
+
+
+def evidence_relations(evidence: DataFrame, rules: list[tuple[str, str]], keywords: dict[str, list[str]]) -> DataFrame:
+    """left_item, right_item, proximity, confidence over kept evidence of pages and spreadsheet rows.
+
+    evidence: item, excerpt, source_type (pdf or excel), source_path, sheet_name, row_index. One excerpt that
+    names both items is the same excerpt or row; so are two pieces of one spreadsheet row.
+    """
+    spark = evidence.sparkSession
+    pairs = spark.createDataFrame(rules, "left_item string, right_item string")
+    present = evidence.select("item").distinct()
+    live = pairs.join(present.toDF("left_item"), "left_item").join(present.toDF("right_item"), "right_item")
+    names = lambda ks: F.exists(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(F.lower("excerpt"), k))
+    both = [F.when(F.col("item").isin(a, b) & names(keywords[a]) & names(keywords[b]), F.struct(F.lit(a).alias("left_item"), F.lit(b).alias("right_item"))) for a, b in rules]
+    near = evidence.select("source_type", F.explode(F.array_compact(F.array(*both))).alias("p")).select("p.*", F.when(F.col("source_type") == "pdf", 2).otherwise(1).alias("near"))
+    place = ["source_path", "sheet_name", "row_index"]
+    rows = evidence.where("source_type = 'excel' and row_index is not null").select("item", *place).distinct()
+    shared = F.broadcast(pairs).join(rows.withColumnRenamed("item", "left_item"), "left_item").join(rows.withColumnRenamed("item", "right_item"), ["right_item", *place])
+    best = near.unionByName(shared.select("left_item", "right_item", F.lit(1).alias("near"))).groupBy("left_item", "right_item").agg(F.max("near").alias("near"))
+    out = live.join(best, ["left_item", "right_item"], "left")
+    proximity = F.when(F.col("near") == 2, "same-excerpt").when(F.col("near") == 1, "same-row").otherwise("project-level")
+    return out.select("left_item", "right_item", proximity.alias("proximity"), F.when(F.col("near") > 0, "high").otherwise("medium").alias("confidence"))
+
+
+def review_prompt(request: str, drawing: str, page_text: str, citations: DataFrame, order: list[str], label: str, excerpt: str, most: int = 20) -> DataFrame:
+    """One row, prompt: the request, the drawing with its text, and at most ``most`` citations in the given order."""
+    top = citations.orderBy(*order).limit(most)
+    n = F.row_number().over(Window.orderBy(*order))
+    lines = top.select(n.alias("n"), F.concat(F.lit("- ["), F.col(label).cast("string"), F.lit("] "), collapsed(F.col(excerpt))).alias("line"))
+    body = lines.agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "line")))["line"], "\n").alias("body"))
+    head = "\n".join(["# Request", request, "# Drawing", drawing, page_text, "# Sources", ""])
+    return body.select(F.concat(F.lit(head), "body").alias("prompt"))
+
+
+def managed_path(path):
+    """A relative path below the managed folder to a PDF: no empty, dot or parent segment, no backslash or NUL."""
+    base = F.element_at(F.split(path, "/"), -1)
+    clean = ~path.rlike(r"[\\\x00]") & ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
+    return F.coalesce(clean & (F.length(base) > 4) & F.lower(base).endswith(".pdf"), F.lit(False))
+
+
+def parent_directory(path):
+    at = F.length(path) - F.locate("/", F.reverse(path))
+    return F.when(F.contains(path, F.lit("/")), F.substring(path, F.lit(1), at)).otherwise(F.lit("."))

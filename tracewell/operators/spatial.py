@@ -75,15 +75,16 @@ def proximity_rank(pairs: DataFrame, entity: list[str], order: list[str], keep:
     return near.withColumn("tags", tags).where(~apart | (F.col("rank") <= keep))
 
 
-def nearest_in_band(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: float, tie: float = 0.001) -> DataFrame:
-    """left_id, right_id, distance, n_ties: the nearest right value within ``width``; ties are counted.
+def nearest_in_band(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_id: str, right_at: str, width: float, tie: float = 0.001, by: list[str] | None = None) -> DataFrame:
+    """by.., left_id, right_id, distance, n_ties: the nearest right value within ``width`` and the same ``by``; ties are counted.
 
     Both sides fall into buckets as wide as the band; a left row meets its own and the two next to it.
     """
-    lhs = left.select(left_id, F.col(left_at).alias("_l")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_l") / width) + d for d in (-1, 0, 1)])))
-    rhs = right.select(right_id, F.col(right_at).alias("_r")).withColumn("_b", F.floor(F.col("_r") / width))
-    near = lhs.join(rhs, "_b").withColumn("distance", F.abs(F.col("_l") - F.col("_r"))).where(F.col("distance") <= width)
-    w = Window.partitionBy(left_id)
+    by = by or []
+    lhs = left.select(*by, left_id, F.col(left_at).alias("_l")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_l") / width) + d for d in (-1, 0, 1)])))
+    rhs = right.select(*by, right_id, F.col(right_at).alias("_r")).withColumn("_b", F.floor(F.col("_r") / width))
+    near = lhs.join(rhs, [*by, "_b"]).withColumn("distance", F.abs(F.col("_l") - F.col("_r"))).where(F.col("distance") <= width)
+    w = Window.partitionBy(*by, left_id)
     near = near.withColumn("_m", F.min("distance").over(w)).where(F.col("distance") - F.col("_m") <= tie)
-    out = near.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_x"), F.count("*").alias("n_ties"))
-    return out.select(left_id, F.col(f"_x.{right_id}").alias(right_id), F.col("_x.distance").alias("distance"), "n_ties")
+    out = near.groupBy(*by, left_id).agg(F.min(F.struct("distance", right_id)).alias("_x"), F.count("*").alias("n_ties"))
+    return out.select(*by, left_id, F.col(f"_x.{right_id}").alias(right_id), F.col("_x.distance").alias("distance"), "n_ties")

@@ -8,6 +8,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import cut
+
 
 def _same(a: str, b: str, cols: list[str]):
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
@@ -126,3 +128,52 @@ def batch_outcome(sources: DataFrame, order: str, failed: str) -> DataFrame:
     at = F.col("_stop")
     status = F.when(at.isNull() | (F.col(order) < at), "SUCCEEDED").when(F.col(order) == at, "FAILED").otherwise("NOT_ATTEMPTED")
     return sources.join(F.broadcast(stop)).withColumn("status", status).drop("_stop")
+
+
+def append_facts(existing: DataFrame, incoming: DataFrame, seq: str, order: list[str]) -> DataFrame:
+    """Facts are appended as they come, duplicates kept, numbered on from the last one in the given order.
+
+    Numbers follow a range partitioning with one offset a partition, so no task sees all rows.
+    """
+    last = existing.agg(F.coalesce(F.max(seq), F.lit(0)).cast("long")).first()[0]
+    return existing.unionByName(numbered(incoming.drop(seq), seq, order, last).select(existing.columns))
+
+
+def numbered(rows: DataFrame, name: str, order: list[str], after: int = 0) -> DataFrame:
+    """``rows`` with numbers from ``after`` + 1 on in the order given; rows equal in it come in any order."""
+    spread = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # One row a partition.
+    sizes, offset, starts = dict(spread.groupBy("_part").count().collect()), after, []
+    for part in sorted(sizes):
+        starts.append((part, offset))
+        offset += sizes[part]
+    table = spread.sparkSession.createDataFrame(starts or [(0, after)], "_part int, _start long")
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return spread.withColumn("_n", n).join(F.broadcast(table), "_part").withColumn(name, F.col("_n") + F.col("_start")).drop("_n", "_start", "_part")
+
+
+def write_compatibility(existing: DataFrame, metadata: DataFrame, incoming: DataFrame) -> DataFrame:
+    """collection, status: OK, or why an incoming write must be refused.
+
+    existing: collection, source_path; metadata: collection, provider, model, dimensions; incoming: collection,
+    source_path, provider, model, least and most dimensions. Only a source other than the incoming one binds.
+    """
+    others = existing.select("collection", F.col("source_path").alias("_held")).distinct()
+    foreign = incoming.join(others, "collection").where("_held <> source_path").select("collection", "source_path").distinct().withColumn("_foreign", F.lit(True))
+    held = metadata.select("collection", F.col("provider").alias("_p"), F.col("model").alias("_m"), F.col("dimensions").alias("_d"))
+    rows = incoming.join(foreign, ["collection", "source_path"], "left").join(held, "collection", "left")
+    status = (
+        F.when(F.coalesce("least", F.lit(0)) < 1, "VECTORS_EMPTY").when(F.col("least") != F.col("most"), "VECTORS_MIXED").when(F.col("_foreign").isNull(), "OK").when(F.col("_p").isNull(), "METADATA_MISSING")
+        .when(F.col("_p") != F.col("provider"), "PROVIDER_DIFFERS").when(F.col("_m") != F.col("model"), "MODEL_DIFFERS").when(F.col("_d") != F.col("least"), "DIMENSION_DIFFERS").otherwise("OK")
+    )
+    return rows.select("collection", "source_path", status.alias("status"))
+
+
+def canonical_json(text):
+    """A JSON text with the names of every object sorted and without blanks; null where it is no JSON.
+
+    The parser reads one value and ignores what follows, so the text is read as the only value of a list.
+    """
+    whole = F.try_parse_json(F.concat(F.lit('{"a":['), text, F.lit("]}")))
+    only = F.try_variant_get(whole, "$.a[1]", "variant").isNull()
+    return F.when(only, F.to_json(F.try_variant_get(whole, "$.a[0]", "variant")))
