@@ -168,7 +168,9 @@ def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written amount with thousands separators back to a number; errors by row."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.format_number("p_retailprice", 2).alias("written"))
+    k = F.col("p_partkey")
+    spoilt = F.when(k % 7 == 0, "#REF!").when(k % 11 == 0, "").when(k % 13 == 0, "1.2.3").when(k % 17 == 0, F.concat(F.lit(" -"), F.format_number("p_retailprice", 2))).otherwise(F.format_number("p_retailprice", 2))
+    parts = table(spark, sf_dir, "part").select("p_partkey", spoilt.alias("written"))
     clean = F.regexp_replace(F.trim("written"), ",", "")
     price = F.when(clean.rlike(r"^-?\d+(\.\d+)?$"), clean.try_cast("double"))
     return parts.select("p_partkey", price.alias("price"), price.isNull().alias("is_error"))
@@ -181,8 +183,9 @@ def header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "documents").where("title is not null").select("doc_id", "title")
-    return titles.select("doc_id", X.drawing_number(F.concat(F.lit("E "), F.regexp_extract("title", r"(\d{2,4})", 1), F.lit(" A"))).alias("drawing_no"))
+    """Drawing numbers in item codes and model fields as they are written."""
+    m = table(spark, sf_dir, "material_knowledge_metadata").dropDuplicates(["listing_id"]).select("listing_id", F.explode(F.array("item_code", "model", "sheet_name")).alias("written")).where("written is not null")
+    return m.select("listing_id", "written", X.drawing_number(F.col("written")).alias("drawing_no")).distinct()
 
 
 QUERIES = {
@@ -315,9 +318,13 @@ FROM (SELECT chunk_seq, text, instr(lower(text), 'ground') AS a FROM kec_chunks)
     "fnv_hashes": """SELECT p_partkey, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
 lambda h, c: ((xor(h, c)) * 16777619) % 4294967296)::BIGINT AS fnv FROM part""",
     "row_text": "SELECT DISTINCT listing_id, concat_ws(chr(10), " + ", ".join(f"'{c}: ' || {c}" for c in _FIELDS) + ") AS chunk_text FROM material_knowledge_metadata",
-    "price_parse": "SELECT p_partkey, CAST(format('{:.2f}', p_retailprice) AS DOUBLE) AS price, false AS is_error FROM part",
+    "price_parse": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 THEN CAST(format('{:.2f}', p_retailprice) AS DOUBLE) * CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 1 END END AS price,
+p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 AS is_error FROM part""",
     "header_normalize": f"""WITH h AS (SELECT DISTINCT sheet_name AS header FROM material_knowledge_metadata WHERE sheet_name IS NOT NULL),
 k AS (SELECT header, lower(replace(trim(regexp_replace(header, '{_SP}+', ' ', 'g')), ' ', '_')) AS key FROM h) SELECT header, key, count(*) OVER (PARTITION BY key) > 1 AS is_duplicate FROM k""",
-    "drawing_numbers": """SELECT doc_id, CASE WHEN regexp_extract(title, '(\\d{2,4})', 1) <> '' THEN 'E-' || regexp_extract(title, '(\\d{2,4})', 1) || 'A' END AS drawing_no FROM documents WHERE title IS NOT NULL""",
+    "drawing_numbers": r"""WITH m AS (SELECT DISTINCT listing_id, item_code, model, sheet_name FROM material_knowledge_metadata), w AS (SELECT DISTINCT listing_id, unnest([item_code, model, sheet_name]) AS written FROM m),
+f AS (SELECT *, upper(regexp_replace(written, '[\s_]+', '-', 'g')) AS flat FROM w WHERE written IS NOT NULL),
+h AS (SELECT *, regexp_extract(flat, '(?:^|[^A-Z0-9])([A-Z]{1,4})-?(\d{2,4})-?([A-Z]?)(?:$|[^A-Z0-9])', ['a', 'b', 'c']) AS g FROM f)
+SELECT listing_id, written, CASE WHEN g.a <> '' THEN g.a || '-' || g.b || g.c END AS drawing_no FROM h""",
     "sheet_source_key": "SELECT DISTINCT source_path, sheet_name, source_path || '#sheet=' || replace(replace(replace(replace(replace(url_encode(sheet_name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS source_key FROM material_knowledge_metadata",
 }
