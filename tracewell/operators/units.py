@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.folding import fold_keys
+from tracewell.session import cut
 
 Edge = tuple[str, str, float, float]
 
@@ -210,7 +211,8 @@ def close_pairs(rows: DataFrame, row_id: str, group: list[str], value: str, perc
     next bin, so a group of any size is spread over its bins and only close rows ever meet.
     """
     width = -math.log(1 - percent / 100) * 1.000001
-    binned = rows.select(*group, F.col(row_id).alias("id"), F.col(value).alias("v"), F.floor(F.log(value) / width).alias("bin"))
+    # Both sides of the join read the rows, which may be dear to make.
+    binned = cut(rows.select(*group, F.col(row_id).alias("id"), F.col(value).alias("v"), F.floor(F.log(value) / width).alias("bin")))
     left = binned.withColumn("bin", F.explode(F.array("bin", F.col("bin") + 1)))
     left = left.select(*group, "bin", F.col("id").alias("l"), F.col("v").alias("lv"))
     near = left.join(binned, [*group, "bin"])
