@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import cut
+
 HEAVY_SHARE = 1024
 
 
@@ -49,9 +51,10 @@ def orphan_references(refs: DataFrame, tgts: DataFrame, period: str = "yyyy-MM",
     """k0.., period, references, missing, deleted, not_yet: one row for each key and period with an orphan."""
     key = [c for c in refs.columns if c.startswith("k")]
     refs = refs.withColumn("period", F.date_format("at", period))
-    groups = refs.groupBy(*key, "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    heavy = groups.groupBy(*key).agg(F.sum("n").alias("n")).join(groups.agg(F.sum("n").alias("total"))).where(F.col("n") * heavy_share > F.col("total"))
-    heavy = F.broadcast(heavy.select(*key))
+    # Read by every branch below.
+    groups = cut(refs.groupBy(*key, "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(cut(groups.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") * heavy_share > total).select(*key)))
     known = F.broadcast(tgts.join(heavy, key, "left_semi"))
     checked = groups.join(heavy, key, "left_semi").join(known, key, "left").unionByName(
         groups.join(heavy, key, "left_anti").join(tgts, key, "left")
@@ -59,7 +62,7 @@ def orphan_references(refs: DataFrame, tgts: DataFrame, period: str = "yyyy-MM",
     first, last = _fault(F.col("lo")), _fault(F.col("hi"))
     checked = checked.withColumn("first", first).withColumn("last", last)
     whole = F.col("first").eqNullSafe(F.col("last"))
-    bad = checked.where("first is not null or last is not null")
+    bad = cut(checked.where("first is not null or last is not null"))
     counted = lambda fault, of: F.sum(F.when(of == fault, F.col("n")).otherwise(0)).alias(fault)
     uniform = bad.where(whole).select(*key, "period", F.col("n").alias("references"), *[
         F.when(F.col("first") == f, F.col("n")).otherwise(F.lit(0)).alias(f) for f in ("missing", "deleted", "not_yet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -28,10 +29,12 @@ def design_items(lines: DataFrame, keywords: DataFrame, key: str, keep: int = 3)
     by: dict[str, list[str]] = {}
     for r in table:
         by.setdefault(r["item"], []).append(r["keyword"])
-    low = F.lower("line")
-    first = lambda ks: F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in ks])
-    hits = F.array_compact(F.array(*[F.when(first(ks).isNotNull(), F.struct(F.lit(i).alias("item"), first(ks).alias("keyword"))) for i, ks in by.items()]))
-    rows = lines.select(key, "line_no", "line", F.explode(hits).alias("h")).select(key, "line_no", "line", "h.*")
+    # One alternation leaves the lines that hold any keyword; each item's first keyword is then looked up once.
+    low = lines.withColumn("_low", F.lower("line"))
+    low = low.where(F.col("_low").rlike("|".join(re.escape(k) for ks in by.values() for k in ks) or "$^"))
+    table = F.array(*[F.struct(F.lit(i).alias("item"), F.array(*map(F.lit, ks)).alias("ks")) for i, ks in by.items()])
+    rows = low.withColumn("h", F.explode(table)).withColumn("keyword", F.try_element_at(F.filter("h.ks", lambda k: F.contains(F.col("_low"), k)), F.lit(1)))
+    rows = rows.where("keyword is not null").select(key, "line_no", "line", "h.item", "keyword")
     rows = rows.withColumn("excerpt", excerpt(F.col("line"), F.col("keyword")))
     first_seen = rows.groupBy("item", "excerpt").agg(F.min(F.struct(key, "line_no", "keyword")).alias("e"))
     w = Window.partitionBy("item").orderBy("e")

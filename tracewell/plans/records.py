@@ -212,7 +212,8 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of a text: groups of two or more, numbered by their first document."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("canon"))
     groups = docs.groupBy("canon").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    numbered = groups.withColumn("group_id", F.concat(F.lit("duplicate-"), F.lpad(F.row_number().over(Window.orderBy("first")).cast("string"), 6, "0")))
+    numbered = store.numbered(groups, "number", ["first"])
+    numbered = numbered.withColumn("group_id", F.concat(F.lit("duplicate-"), F.lpad(F.col("number").cast("string"), 6, "0")))
     return docs.join(numbered.select("canon", "group_id", "n"), "canon").select("doc_id", "group_id", "n")
 
 
