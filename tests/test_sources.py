@@ -49,3 +49,22 @@ def test_files(spark, tmp_path):
         files.batch_sources(paths.union(paths), "p").collect()
     (tmp_path / "doc.json").write_text(json.dumps({"a": 1, "b": ["x"]}))
     assert files.json_documents(spark, str(tmp_path / "doc.json"), "a int, b array<string>").collect()[0]["b"] == ["x"]
+
+
+def test_directory_scope_and_large_documents(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("b.pdf", "a.pdf", "C.PDF", "x.txt", ".h.pdf", "sub/d.pdf"):
+        (tmp_path / name).write_text("x")
+    assert [r["name"] for r in files.directory_scope(spark, str(tmp_path)).collect()] == ["a.pdf", "b.pdf"]
+    with pytest.raises(ValueError):
+        files.directory_scope(spark, _empty(tmp_path))
+    (tmp_path / "doc.json").write_text(json.dumps({"a": 1}))
+    assert files.json_documents(spark, str(tmp_path / "doc.json"), "a int").first()["a"] == 1
+    with pytest.raises(ValueError):
+        files.json_documents(spark, str(tmp_path / "doc.json"), "a int", most=3)
+
+
+def _empty(tmp_path):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "n.txt").write_text("x")
+    return str(tmp_path / "empty")

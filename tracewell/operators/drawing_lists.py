@@ -32,22 +32,36 @@ def group_rows(items: DataFrame, scope: list[str], along: str, across: str, tole
     """
     schema = items.withColumn("row_at", F.lit(0.0)).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([along, across], ascending=[rising, False], kind="stable")
-        totals, counts, rows = [], [], []
-        for at in pdf[along]:
-            for n, (total, count) in enumerate(zip(totals, counts)):
-                if abs(total / count - at) <= tolerance:
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Whole scopes, one after the other in order."""
+        fresh = (pdf[scope].ne(pdf[scope].shift())).any(axis=1).tolist()
+        totals, counts, first, at = [], [], 0, []
+        for new, x in zip(fresh, pdf[along].tolist()):
+            first = len(totals) if new else first
+            for n in range(first, len(totals)):
+                if abs(totals[n] / counts[n] - x) <= tolerance:
                     break
             else:
                 n = len(totals)
                 totals.append(0.0), counts.append(0)
-            totals[n] += at
+            totals[n] += x
             counts[n] += 1
-            rows.append(n)
-        return pdf.assign(row_at=[totals[n] / counts[n] for n in rows])
-
-    return items.groupBy(*scope).applyInPandas(run, schema)
+            at.append(n)
+        return pdf.assign(row_at=[totals[n] / counts[n] for n in at])
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            # The last scope may go on in the next batch.
+            last = pdf[scope].eq(pdf[scope].iloc[-1]).all(axis=1)
+            yield rows_of(pdf[~last])
+            held = pdf[last]
+        if held is not None:
+            yield rows_of(held)
+
+    order = [F.asc(along) if rising else F.desc(along), F.desc(across)]
+    return items.repartition(*scope).sortWithinPartitions(*scope, *order).mapInPandas(run, schema)
 
 
 def _first_match(text: Column, patterns: list[str]) -> Column:

@@ -19,6 +19,19 @@ def project_files(spark: SparkSession, root: str, extensions: list[str] | None =
     return rows.orderBy(F.expr("path COLLATE UNICODE")).select("path", "name", "extension", "size", "modified_at")
 
 
+def directory_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """name, size, modified_at of the PDF files that lie in a folder itself, in name order; refused where there is none.
+
+    Names end in lower-case ``.pdf``; folders below, links and hidden files are no sources.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", False).load(folder).drop("content")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")).where(~F.col("name").startswith("."))
+    if rows.isEmpty():
+        raise ValueError(f"no PDF file in {folder}")
+    return rows.orderBy("name")
+
+
 def batch_sources(paths: DataFrame, column: str) -> DataFrame:
     """source_id, path in id order; a path given twice, or outside the root, is refused when the rows are read."""
     rows = paths.select(F.col(column).alias("path"))
@@ -28,6 +41,12 @@ def batch_sources(paths: DataFrame, column: str) -> DataFrame:
     return counted.select(F.concat(F.lit("kecsrc_"), F.sha2("path", 256)).alias("source_id"), checked.alias("path")).orderBy("source_id")
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents of a fixed schema; one that does not fit fails the read."""
+MOST_BYTES = 10 * 1024 * 1024
+
+
+def json_documents(spark: SparkSession, path: str, schema: str, most: int = MOST_BYTES) -> DataFrame:
+    """JSON documents of a fixed schema; one that does not fit, or of more than ``most`` bytes, fails the read."""
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    if large := sizes.where(F.col("length") > most).select("path").first():
+        raise ValueError(f"{large[0]} has more than {most} bytes")
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
