@@ -59,3 +59,30 @@ def test_issues(spark):
         ("COMPONENT_SPLIT", "a"), ("CONTAINMENT_CYCLE", "a"), ("CONTAINMENT_CYCLE", "b"), ("NODE_ISOLATED", "c"),
     }
     assert validation.graph_issues(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_index_pages(spark):
+    from tracewell.operators.indexing import index_pages
+
+    C = "collection string, source_path string, page int, chunk_index int, text string, embedding array<double>"
+    held = spark.createDataFrame([("a", "x", 1, 0, "old", [1.0]), ("a", "y", 1, 0, "old", [1.0]), ("b", "z", 1, 0, "old", [1.0, 2.0])], C)
+    meta = spark.createDataFrame([("a", "p", "m", 1), ("b", "p", "m", 2)], "collection string, provider string, model string, dimensions int")
+    rows = [("a", "x", 1, "one two"), ("a", "x", 1, "one two"), ("a", "x", 2, None), ("b", "w", 1, "three"), ("c", "v", 1, "four"), ("a", "u", 1, "  "), ("b", "z", 1, "five six seven")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "collection string, source_path string, page int, text string, model string")
+    chunks, metadata, outcome = index_pages(held, meta, pages.drop("model"), lambda t: F.split(t, " "), lambda t: F.array(F.length(t).cast("double")), "p", "m")
+    assert {(r[0], r[1]): (r[2], r[3]) for r in outcome.collect()} == {("a", "x"): ("OK", 2), ("b", "w"): ("DIMENSION_DIFFERS", 1), ("c", "v"): ("OK", 1), ("a", "u"): ("VECTORS_EMPTY", 0), ("b", "z"): ("OK", 3)}
+    got = sorted((r.collection, r.source_path, r.chunk_index, r.text) for r in chunks.collect())
+    assert got == [("a", "x", 0, "one"), ("a", "x", 1, "two"), ("a", "y", 0, "old"), ("b", "z", 0, "five"), ("b", "z", 1, "six"), ("b", "z", 2, "seven"), ("c", "v", 0, "four")]
+    assert {r.collection: r.dimensions for r in metadata.collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def test_assembly(spark):
+    from tracewell.operators.assembly import assemble_objects, object_statistics
+
+    C = "page int, candidate_id string, rule_id string, object_type string, confidence double, primary array<string>, supporting array<string>, labels array<string>"
+    rows = [(1, "a", "r", "PANEL", 0.9, ["p2"], ["p1", "p2"], ["t"]), (1, "b", "r", "LOAD", 0.7, ["none"], None, None), (1, "c", "r", "LOAD", 0.5, ["p1"], None, None), (2, "a", "r", "LOAD", 0.65, ["p1"], None, None)]
+    prims = spark.createDataFrame([(1, "p1", 0.0, 5.0, 2.0, 2.0), (1, "p2", 10.0, 0.0, 1.0, 1.0), (2, "p1", 1.0, 1.0, 1.0, 1.0)], "page int, primitive_id string, x double, y double, width double, height double")
+    df = spark.createDataFrame(rows, C)
+    got = {(r.page, r.object_type): (r.status, r.primitive_ids, r.label_ids, r.x, r.y, r.width, r.height) for r in assemble_objects(df.union(df), prims, ["page"]).collect()}
+    assert got == {(1, "PANEL"): ("ACCEPTED", ["p1", "p2"], ["t"], 0.0, 0.0, 11.0, 7.0), (2, "LOAD"): ("REVIEW_REQUIRED", ["p1"], [], 1.0, 1.0, 1.0, 1.0)}
+    assert {r.page: (r.n_candidates, r.n_accepted, r.n_review, r.n_excluded) for r in object_statistics(df, ["page"]).collect()} == {1: (3, 1, 1, 1), 2: (1, 0, 1, 0)}

@@ -152,3 +152,36 @@ def managed_path(path):
 def parent_directory(path):
     at = F.length(path) - F.locate("/", F.reverse(path))
     return F.when(F.contains(path, F.lit("/")), F.substring(path, F.lit(1), at)).otherwise(F.lit("."))
+
+
+def item_knowledge(items: DataFrame, chunks: DataFrame, keywords: dict[str, list[str]], key: str, text: str, keep: int = 3) -> DataFrame:
+    """item, rank, key, n_keywords: for each item of a project the chunks that hold most of its keywords, then the smaller key.
+
+    ``keywords`` is a small fixed table; ranks are cut inside each partition before they meet.
+    """
+    present = items.select("item").distinct()
+    table = F.array(*[F.struct(F.lit(i).alias("item"), F.array(*map(F.lit, ks)).alias("ks")) for i, ks in keywords.items()])
+    rows = chunks.select(key, F.lower(text).alias("_low"), F.explode(table).alias("k"))
+    rows = rows.select(F.col("k.item").alias("item"), key, F.size(F.filter("k.ks", lambda w: F.contains(F.col("_low"), w))).alias("n_keywords")).where("n_keywords > 0")
+    w = Window.partitionBy("item").orderBy(F.desc("n_keywords"), key)
+    return rows.join(F.broadcast(present), "item").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("item", "rank", key, "n_keywords")
+
+
+def project_review(items: DataFrame, chunks: DataFrame, keywords: dict[str, list[str]], key: str, text: str, keep: int = 3) -> DataFrame:
+    """item, n_evidence, n_sources, finding: every keyword group of a project with what the knowledge says of it."""
+    known = item_knowledge(items, chunks, keywords, key, text, keep).groupBy("item").agg(F.count("*").alias("n_sources"))
+    seen = items.groupBy("item").agg(F.count("*").alias("n_evidence"))
+    every = items.sparkSession.createDataFrame([(i,) for i in keywords], "item string")
+    rows = every.join(seen, "item", "left").join(known, "item", "left").na.fill(0, ["n_evidence", "n_sources"])
+    return rows.withColumn("finding", F.when(F.col("n_evidence") == 0, "not-mentioned").when(F.col("n_sources") == 0, "no-source").otherwise("supported"))
+
+
+def hit_issues(hits: DataFrame, key: str, score: str, text: str) -> DataFrame:
+    """Search results that an adapter must refuse: a key twice or missing, a score outside 0 (excluded) to 1, a text that is blank."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit("?"))
+    return issues([
+        ("HIT_KEY_MISSING", "a hit has no key", hits.where(F.col(key).isNull()).select(name)),
+        ("HIT_KEY_DUPLICATE", "a key occurs twice", hits.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(name)),
+        ("HIT_SCORE_RANGE", "a score lies outside 0 to 1", hits.where(~F.coalesce((F.col(score) > 0) & (F.col(score) <= 1), F.lit(False))).select(name)),
+        ("HIT_TEXT_BLANK", "a hit has no text", hits.where(F.coalesce(F.trim(text), F.lit("")) == "").select(name)),
+    ])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import drawing_lists, drawings, graph, inference, review, store, validation
-from tracewell.plans.records import _relationships
+from tracewell.functions import text as text_functions
+from tracewell.operators import assembly, drawing_lists, drawings, graph, indexing, inference, retrieval, review, store, validation
+from tracewell.plans.records import KEYWORDS, items_sql, project_items as records_items
+from tracewell.plans.retrieval import GROUPS
 from tracewell.sources import table
 
 # --- drawing lists and title blocks ----------------------------------------------------------------
@@ -323,12 +325,71 @@ def object_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.node_types(inference.typed_counts(objects, "object_type", _TYPES))
 
 
+# --- pipelines --------------------------------------------------------------------------------------
+
+
+def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each source after a part of the documents was indexed anew; what may not be written keeps its old chunks."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    kind = F.when(F.length("source") % 3 == 0, "a").when(F.length("source") % 3 == 1, "b").otherwise("c")
+    none = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    existing = docs.where("doc_id % 2 = 0").select(kind.alias("collection"), F.col("source").alias("source_path"), F.col("doc_id").cast("int").alias("page"), F.lit(0).alias("chunk_index"), F.lit("old").alias("text"), none.alias("embedding"))
+    metadata = spark.createDataFrame([("a", "local", "groups", 4), ("b", "local", "groups", 5)], "collection string, provider string, model string, dimensions int")
+    pages = docs.where("doc_id % 3 = 0").select(kind.alias("collection"), F.col("source").alias("source_path"), F.col("doc_id").cast("int").alias("page"), "text")
+    chunks, _, outcome = indexing.index_pages(existing, metadata, pages, lambda t: text_functions.fixed_windows(t, 1200), lambda t: retrieval.placeholder_embedding(t, GROUPS), "local", "groups")
+    per = chunks.groupBy("collection", "source_path").agg(F.count_if(F.col("text") == "old").alias("n_old"), F.count_if(F.col("text") != "old").alias("n_new"))
+    return per.join(outcome.select("collection", "source_path", "status"), ["collection", "source_path"], "left")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One candidate a vector, its label the page: its own primitive first, its neighbours' beside it."""
+    v, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    name = lambda k: F.concat(F.lit("p"), k.cast("string"))
+    return v.select(
+        F.col("label").alias("page"), F.concat(F.lit("c"), i.cast("string")).alias("candidate_id"), F.lit("rule").alias("rule_id"), F.element_at(F.array(*map(F.lit, _TYPES)), (i % len(_TYPES) + 1).cast("int")).alias("object_type"),
+        (F.lit(0.5) + i % 50 / 100).alias("confidence"), F.array(name(i)).alias("primary"), F.array(name(i + 10), name(i)).alias("supporting"), F.when(i % 3 == 0, F.array(F.lit("t2"), F.lit("t1"))).alias("labels"),
+    )
+
+
+def object_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    at = lambda n, k: F.round(F.col("embedding")[n].cast("double") * k, 3)
+    primitives = v.select(F.col("label").alias("page"), F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("primitive_id"), at(0, 600).alias("x"), at(1, 600).alias("y"), F.abs(at(2, 60)).alias("width"), F.abs(at(3, 60)).alias("height"))
+    out = assembly.assemble_objects(_candidates(spark, sf_dir), primitives, ["page"])
+    return out.select("page", "object_id", "object_type", "status", F.array_join("primitive_ids", ",").alias("primitives"), F.array_join("label_ids", ",").alias("labels"), "x", "y", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))
+
+
+def object_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.object_statistics(_candidates(spark, sf_dir), ["page"])
+
+
+def _project(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf_dir, "kec_chunks").where("collection = 'company' and text is not null").select("chunk_seq", "text").dropDuplicates(["chunk_seq"])
+    return records_items(spark, sf_dir), chunks
+
+
+def item_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.item_knowledge(*_project(spark, sf_dir), KEYWORDS, "chunk_seq", "text")
+
+
+def project_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every keyword group: evidence in the documents, sources among the company chunks."""
+    return review.project_review(*_project(spark, sf_dir), {**KEYWORDS, "turbine": ["no such turbine"]}, "chunk_seq", "text")
+
+
+def hit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits made of chunks, some spoilt: keys doubled or missing, scores at or beyond the ends."""
+    c, i = table(spark, sf_dir, "kec_chunks").select("chunk_seq", "text").dropDuplicates(["chunk_seq"]), F.col("chunk_seq")
+    hits = c.select(F.when(i % 61 != 0, F.when(i % 7 == 0, i + 1).otherwise(i)).alias("key"), (i % 12 / 10).alias("score"), F.when(i % 53 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    return review.hit_issues(hits, "key", "score", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         drawing_list, drawing_list_warnings, page_parsing, request_selection, review_prompt, evidence_relations, citations, managed_paths, index_metadata, write_compatibility, append_bases,
         json_fields, json_locators, object_issues, construction_issues, identity_issues, capture_issues, relationship_issues, graph_issues, graph_lookup, construction_graph,
-        inferred_relationships, object_evidence, object_types,
+        inferred_relationships, object_evidence, object_types, index_pipeline, object_assembly, object_statistics, item_knowledge, project_review, hit_issues,
     )
 }
 
@@ -419,6 +480,11 @@ _TOUCH = """lp AS (SELECT 'p' || x.l_partkey AS a, 'p' || y.l_partkey AS b, CASE
 oj AS (SELECT 'p' || p_partkey AS object_id, 0.5 + p_partkey % 50 / 100 AS confidence FROM part WHERE p_partkey % 13 <> 0),
 ce AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, edge_type FROM lp WHERE a <> b AND a IN (SELECT object_id FROM oj) AND b IN (SELECT object_id FROM oj)),
 cg AS (SELECT *, 'edge_' || substr(sha256(edge_type || '|' || a || '|' || b), 1, 16) AS edge_id FROM ce)"""
+_HOLDS = "CAST(contains(lower(text), '{0}') AS INTEGER)"
+_KNOWN = "kx AS (" + " UNION ALL ".join(
+    f"SELECT '{i}' AS item, chunk_seq, {' + '.join(_HOLDS.format(k) for k in ks)} AS n_keywords FROM (SELECT DISTINCT chunk_seq, text FROM kec_chunks WHERE collection = 'company' AND text IS NOT NULL)"
+    for i, ks in KEYWORDS.items()
+) + "), kn AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n_keywords DESC, chunk_seq) AS rank FROM kx WHERE n_keywords > 0 AND item IN (SELECT item FROM it) QUALIFY rank <= 3)"
 _NODE_CASE = "CASE object_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in inference.NODE_TYPES.items()) + " END"
 
 SQL = {
@@ -526,4 +592,30 @@ SELECT key, 'CONNECTED_TO' AS relationship_type, round(least(e, e * 0.4 + 0.6),
 g AS (SELECT k, string_agg(v, ',' ORDER BY v) AS evidence FROM e GROUP BY 1) SELECT o_orderkey AS object_id, coalesce(evidence, '') AS evidence FROM orders LEFT JOIN g ON k = o_orderkey""",
     "object_types": f"""WITH {_OBJ}, t AS (SELECT object_type, count(*) AS n FROM op WHERE object_type NOT IN ('MYSTERY', 'SWITCH') GROUP BY 1), k AS (SELECT unnest({_TYPE_LIST}) AS object_type)
 SELECT object_type, coalesce(n, 0) AS n, {_NODE_CASE} AS node_type FROM k LEFT JOIN t USING (object_type)""",
+    "index_pipeline": """WITH d AS (SELECT DISTINCT doc_id, source AS s, text, CASE length(source) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS c FROM documents WHERE source IS NOT NULL),
+o AS (SELECT c, s, count(*) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2),
+f AS (SELECT c, s, doc_id, unnest(list_transform(range(0, CAST(CASE WHEN length(text) > 1200 THEN ceil((length(text) - 1200) / 660.0) ELSE 0 END AS BIGINT) + 1), lambda i: substr(text, i * 660 + 1, 1200))) AS p FROM d WHERE doc_id % 3 = 0 AND text IS NOT NULL),
+n AS (SELECT c, s, count(*) FILTER (trim(rtrim(p)) <> '') AS n FROM f GROUP BY 1, 2),
+w AS (SELECT DISTINCT c, s FROM d WHERE doc_id % 3 = 0),
+st AS (SELECT w.c, w.s, coalesce(n.n, 0) AS made, CASE WHEN coalesce(n.n, 0) = 0 THEN 'VECTORS_EMPTY' WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.c = w.c AND o.s <> w.s) THEN 'OK' WHEN w.c = 'c' THEN 'METADATA_MISSING' WHEN w.c = 'b' THEN 'DIMENSION_DIFFERS' ELSE 'OK' END AS status FROM w LEFT JOIN n USING (c, s)),
+j AS (SELECT coalesce(o.c, st.c) AS c, coalesce(o.s, st.s) AS s, CASE WHEN st.status = 'OK' THEN 0 ELSE coalesce(o.n, 0) END AS n_old, CASE WHEN st.status = 'OK' THEN made ELSE 0 END AS n_new, st.status FROM o FULL OUTER JOIN st ON o.c = st.c AND o.s = st.s)
+SELECT c AS collection, s AS source_path, n_old, n_new, status FROM j WHERE n_old + n_new > 0""",
+    "object_assembly": f"""WITH c AS (SELECT label AS page, vec_id AS i, ({_TYPE_LIST})[vec_id % {len(_TYPES)} + 1] AS object_type, 0.5 + vec_id % 50 / 100 AS conf, list_sort(['p' || vec_id, 'p' || (vec_id + 10)]) AS ps, CASE WHEN vec_id % 3 = 0 THEN 't1,t2' ELSE '' END AS labels FROM embeddings),
+p AS (SELECT label AS page, 'p' || vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * 600, 3) AS x, round(CAST(embedding[2] AS DOUBLE) * 600, 3) AS y, abs(round(CAST(embedding[3] AS DOUBLE) * 60, 3)) AS w, abs(round(CAST(embedding[4] AS DOUBLE) * 60, 3)) AS h FROM embeddings),
+b AS (SELECT c.page, i, min(x) AS x, min(y) AS y, max(x + w) AS x2, max(y + h) AS y2 FROM c JOIN p ON p.page = c.page AND list_contains(ps, p.id) GROUP BY 1, 2)
+SELECT c.page, 'object_' || substr(sha256(c.page || '|rule|' || array_to_string(ps, ',') || '|' || labels), 1, 16) AS object_id, object_type, CASE WHEN conf < 0.8 THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED' END AS status,
+array_to_string(ps, ',') AS primitives, labels, x, y, round(x2 - x, 6) AS width, round(y2 - y, 6) AS height FROM c JOIN b ON b.page = c.page AND b.i = c.i WHERE conf >= 0.6""",
+    "object_statistics": """WITH c AS (SELECT label AS page, 0.5 + vec_id % 50 / 100 AS conf FROM embeddings)
+SELECT page, count(*) AS n_candidates, count(*) FILTER (conf >= 0.8) AS n_accepted, count(*) FILTER (conf >= 0.6 AND conf < 0.8) AS n_review, count(*) FILTER (conf < 0.6) AS n_excluded FROM c GROUP BY 1""",
+    "item_knowledge": f"WITH {items_sql()}, {_KNOWN} SELECT item, CAST(rank AS INTEGER) AS rank, chunk_seq, CAST(n_keywords AS INTEGER) AS n_keywords FROM kn",
+    "project_review": f"""WITH {items_sql()}, {_KNOWN}, ev AS (SELECT item, count(*) AS n FROM it GROUP BY 1), ks AS (SELECT item, count(*) AS n FROM kn GROUP BY 1),
+al(item) AS (VALUES {', '.join(f"('{i}')" for i in [*KEYWORDS, 'turbine'])})
+SELECT al.item, coalesce(ev.n, 0) AS n_evidence, coalesce(ks.n, 0) AS n_sources, CASE WHEN ev.n IS NULL THEN 'not-mentioned' WHEN ks.n IS NULL THEN 'no-source' ELSE 'supported' END AS finding FROM al LEFT JOIN ev ON ev.item = al.item LEFT JOIN ks ON ks.item = al.item""",
+    "hit_issues": "WITH c AS (SELECT DISTINCT chunk_seq AS i, text FROM kec_chunks), h AS (SELECT CASE WHEN i % 61 <> 0 THEN CASE WHEN i % 7 = 0 THEN i + 1 ELSE i END END AS k, i % 12 / 10 AS s, CASE WHEN i % 53 = 0 THEN '  ' ELSE text END AS t FROM c) "
+    + _issues_sql(
+        ("HIT_KEY_MISSING", "a hit has no key", "SELECT '?' FROM h WHERE k IS NULL"),
+        ("HIT_KEY_DUPLICATE", "a key occurs twice", "SELECT k FROM h WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
+        ("HIT_SCORE_RANGE", "a score lies outside 0 to 1", "SELECT coalesce(CAST(k AS VARCHAR), '?') FROM h WHERE s <= 0 OR s > 1"),
+        ("HIT_TEXT_BLANK", "a hit has no text", "SELECT coalesce(CAST(k AS VARCHAR), '?') FROM h WHERE coalesce(trim(t), '') = ''"),
+    ),
 }

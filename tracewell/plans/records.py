@@ -275,22 +275,22 @@ KEYWORDS = {
 RULES = [("grounding", "cable"), ("breaker", "load"), ("lighting", "load"), ("panel", "breaker"), ("fire", "cable"), ("battery", "panel")]
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = [(item, k, i) for item, ks in KEYWORDS.items() for i, k in enumerate(ks)]
     return review.design_items(review.evidence_lines(docs, "doc_id", "text"), spark.createDataFrame(rows, "item string, keyword string, place int"), "doc_id")
 
 
 def design_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir)
+    return project_items(spark, sf_dir)
 
 
 def design_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.design_relations(_items(spark, sf_dir), RULES, KEYWORDS)
+    return review.design_relations(project_items(spark, sf_dir), RULES, KEYWORDS)
 
 
 def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
+    items = project_items(spark, sf_dir)
     relations = review.design_relations(items, RULES, KEYWORDS)
     return review.markdown_report(
         "Review", [("Items", items, ["item", "n"], ["item", "keyword", "excerpt"]), ("Relations", relations, ["left_item", "right_item"], ["left_item", "right_item", "proximity"])], spark
@@ -353,7 +353,7 @@ near AS (SELECT *, CASE WHEN topology = 'disjoint' THEN row_number() OVER (PARTI
 QUALIFY topology <> 'disjoint' OR rank <= 8)"""
 
 
-def _items_sql() -> str:
+def items_sql() -> str:
     first = lambda ks: "CASE " + " ".join(f"WHEN contains(lower(line), '{k}') THEN '{k}'" for k in ks) + " END"
     hits = " UNION ALL ".join(f"SELECT '{i}' AS item, doc_id, line_no, line, {first(ks)} AS keyword FROM ln" for i, ks in KEYWORDS.items())
     sp = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -451,8 +451,8 @@ UNION ALL SELECT DISTINCT snapshot_id, 'header-without-member' FROM kec_requirem
     "quality_eval": """WITH e AS (SELECT DISTINCT decision_namespace, decision_record_key AS k FROM decision_bases), a AS (SELECT DISTINCT decision_namespace, record_key AS k FROM decision_records WHERE deleted_at IS NULL),
 s AS (SELECT (SELECT count(*) FROM (SELECT * FROM e INTERSECT SELECT * FROM a)) AS tp, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM e)) AS fp, (SELECT count(*) FROM (SELECT * FROM e EXCEPT SELECT * FROM a)) AS fn)
 SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM s""",
-    "design_items": f"WITH {_items_sql()} SELECT item, n, doc_id, line_no, keyword, excerpt FROM it",
-    "design_relations": f"WITH {_items_sql()} {_relations_sql()}",
+    "design_items": f"WITH {items_sql()} SELECT item, n, doc_id, line_no, keyword, excerpt FROM it",
+    "design_relations": f"WITH {items_sql()} {_relations_sql()}",
     "validation_issues": """WITH c AS (SELECT DISTINCT chunk_seq, collection, chunk_id, text, embedding FROM kec_chunks)
 SELECT 'CHUNK_ID_DUPLICATE' AS code, chunk_id AS entity_id, 'a chunk id occurs twice in its collection' AS message FROM c GROUP BY collection, chunk_id HAVING count(*) > 1
 UNION ALL SELECT 'TEXT_TOO_SHORT', CAST(chunk_seq AS VARCHAR), 'a chunk has fewer than 15 characters' FROM c WHERE length(text) < 15
