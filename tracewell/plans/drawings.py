@@ -145,6 +145,7 @@ QUERIES = {
 }
 
 _M = "m AS (SELECT DISTINCT listing_id, name, category, row_index FROM material_knowledge_metadata WHERE name IS NOT NULL)"
+_M0 = "m AS (SELECT DISTINCT listing_id, catalog_id, item_code, name FROM material_knowledge_metadata WHERE name IS NOT NULL)"
 _PATTERNS = [(c, p.replace("(?i)", "")) for c, p in drawings.CATEGORIES]
 _HITS = [f"regexp_matches(name, '{p}'{', ' + chr(39) + 'i' + chr(39) if c == 'MCC' else ''})" for c, p in _PATTERNS]
 _W1, _W2 = WORDS.split()
@@ -175,4 +176,13 @@ SELECT page, kind, count(*) AS n, count(*) FILTER (same > 1) AS n_repeated FROM
 q AS (SELECT v.*, k, CASE i % 9 WHEN 4 THEN 1 ELSE 10 END AS px, CASE i % 9 WHEN 4 THEN 1 ELSE 0 END AS py FROM v, (VALUES (0), (1), (2)) t(k))
 SELECT page, 'primitive-' || lpad(CAST(n * 3 + k + 1 AS VARCHAR), 6, '0') AS primitive_id, (['fill', 'stroke', 'both'])[k + 1] AS paint, CASE k WHEN 0 THEN round(w, 6) WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS line_width,
 CASE k WHEN 0 THEN 310 - 2 * py WHEN 1 THEN px + 300 ELSE px END::DOUBLE AS x, CASE k WHEN 0 THEN 220 + 2 * px WHEN 1 THEN py + 200 ELSE py END::DOUBLE AS y, (([2, 5, 3, 4, 2, 7, 2, 2, 5])[i % 9 + 1])::INTEGER AS n_commands FROM q""",
+    "page_mapping": f"""WITH {_M0}, la AS (SELECT catalog_id, item_code, arg_max(name, listing_id) AS found, min(listing_id) AS page FROM m GROUP BY 1, 2),
+cl AS (SELECT m.catalog_id AS source, page, 'E-' || listing_id AS drawing_no, regexp_replace(lower(found), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS a, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS b FROM m JOIN la USING (catalog_id, item_code)),
+gr AS (SELECT *, list_distinct(list_transform(range(1, length(a)), lambda k: substr(a, k, 2))) AS ga, list_distinct(list_transform(range(1, length(b)), lambda k: substr(b, k, 2))) AS gb FROM cl),
+sm AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) WHEN greatest(len(ga), len(gb)) = 0 THEN 0.0 ELSE len(list_intersect(ga, gb)) / greatest(len(ga), len(gb)) END AS sim FROM gr),
+od AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY source, page) AS cnt, lead(sim) OVER w AS second FROM sm WINDOW w AS (PARTITION BY source, page ORDER BY sim DESC, drawing_no)),
+fi AS (SELECT *, cnt = 1 OR (sim > 0 AND sim - second >= 0.15) AS clear, a = b AND a <> '' AS same FROM od WHERE n = 1)
+SELECT source, CAST(page AS INTEGER) AS page, CASE WHEN clear THEN drawing_no END AS drawing_no,
+CASE WHEN clear THEN floor(least(1.0, 0.76 + 0.08 + CASE WHEN same THEN 0.15 ELSE least(0.08, sim * 0.08) END + CASE WHEN NOT same AND sim > 0 THEN 0.01 ELSE 0.0 END - CASE WHEN cnt > 1 THEN 0.02 ELSE 0.0 END) * 1000 + 0.5) / 1000 END::DOUBLE AS confidence,
+CASE WHEN clear THEN 'MAPPED' ELSE 'AMBIGUOUS' END AS status FROM fi""",
 }
