@@ -82,3 +82,17 @@ def test_rare_terms_beyond_the_fitted_words(spark, rows):
     rare = [(500 + i, f"The quenching nozzle shall {SAID['fire_protection']} on level {i}. {say('fire_protection', 1, i)}", "") for i in range(4)]
     got = {(r[0], r[1]) for r in S.document_subjects(*frames(spark, rows + rare + [(600, "Quenching nozzle, blue.", "")]), topics=12, passes=10).collect()}
     assert (600, "fire_protection") in got
+
+
+def test_all_hand_labels_are_counted(spark, rows):
+    """More than 20,000 labelled documents: all are counted, and all speak for the topics' terms."""
+    many = [(10_000 + i, "grounding") for i in range(20_500)]
+    docs, key, text, areas, labels = frames(spark, rows, [(i, NAMES[i % 3]) for i in range(240)] + many)
+    found = spark.createDataFrame([(d, s) for d, s in many if d % 2], "id long, subject string")
+    told = {r.subject: (r.labels, r.agreed) for r in S.label_agreement(found, "id", areas, labels).collect()}
+    assert told == {"fire_protection": (80, 0), "grounding": (20_580, 10_250), "lighting": (80, 0)}
+    fitted = S.fit_subjects(docs, key, text, areas, labels, topics=4, passes=2, rounds=0)
+    assert fitted.sents.where("subjects is not null").count() == 240
+    lamp = int(S._place(fitted.fit)[S._Buckets()["lamp"]])
+    held = sum(any("lamp" in S._words(s) for s in S.sentences(t)) for i, t, _ in {r[:2]: r for r in rows if r[0] is not None and r[0] < 240}.values())
+    assert fitted.spoken[lamp].sum() == held > 0

@@ -16,8 +16,8 @@
 5. The subjects of a document are those of at least a fifth of its topic proportions, counted in
    sentences that treat any subject.
 
-The hand labels read are those of at most ``LABELLED`` documents, by a hash of the key; labels may be
-doubled, wrong or spelled freely (key, English or Korean title).
+All hand labels are read, and joined to their documents where repeated documents are dropped; labels may
+be doubled, wrong or spelled freely (key, English or Korean title).
 
 Defined cases: null, empty and blank texts, and texts without a clear sentence, get no subject; repeated
 documents count once; ties between subjects in a sentence go to the one first by name; texts are read
@@ -43,7 +43,7 @@ from tracewell.session import cut
 
 TOPICS, PASSES, FULL_PASSES, PART_DOCS, INNER = 64, 24, 1, 4096, 8
 FIT_TERMS, LEAST_DOCS, MOST_SHARE, TOP_TERMS = 4096, 5, 0.5, 12
-LABELLED, MOST_SUBJECTS, ROUNDS, LEAST_SHARE = 20_000, 256, 2, 0.2
+MOST_SUBJECTS, ROUNDS, LEAST_SHARE = 256, 2, 0.2
 ALPHA, ETA, SURE = 0.1, 0.02, 1.5
 _HALF = 1 << 21
 _CLEAR, _SEEN, _FAVOUR = 0.75, 0.25, 0.15
@@ -86,24 +86,24 @@ def _words(sentence: str) -> list[str]:
     return _WORD.findall(sentence.lower())
 
 
-def indexed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, words (buckets of all words in order), lens (words of each sentence)."""
-    kind = docs.schema[key].dataType.simpleString()
+def indexed(docs: DataFrame) -> DataFrame:
+    """doc, subjects, words (buckets of all words in order), lens (words of each sentence). docs: doc, t, subjects."""
+    kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         at = _Buckets()
         for batch in batches:
             words, lens, n_words, n_lens = [], [], [0], [0]
-            for text_ in batch.column(1).to_pylist():
-                for s in sentences(fold(text_)):
+            for text in batch.column("t").to_pylist():
+                for s in sentences(fold(text)):
                     found = _words(s)
                     words += [at[w] for w in found]
                     lens.append(len(found))
                 n_words.append(len(words)), n_lens.append(len(lens))
             lists = lambda n, v: pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(v, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(n_words, words), lists(n_lens, lens)], ["doc", "words", "lens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("subjects"), lists(n_words, words), lists(n_lens, lens)], ["doc", "subjects", "words", "lens"])
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).mapInArrow(run, f"doc {kind}, words array<int>, lens array<int>")
+    return docs.mapInArrow(run, f"doc {kind}, subjects array<string>, words array<int>, lens array<int>")
 
 
 @dataclass
@@ -367,8 +367,8 @@ def _spelling(form: str) -> str:
     return (fold_key(form) or "").replace("_", " ").replace("-", " ")
 
 
-def hand_labels(labels: DataFrame, spelled: dict[str, str], key: str, most: int = LABELLED) -> DataFrame:
-    """doc, subjects: the labels of at most ``most`` documents, in the keys of the subjects."""
+def hand_labels(labels: DataFrame, spelled: dict[str, str], key: str) -> DataFrame:
+    """doc, subjects: the labels of each labelled document, in the keys of the subjects."""
     table = labels.sparkSession.createDataFrame(list(spelled.items()) or [("", None)], "form string, name string")
 
     @F.pandas_udf("string")
@@ -376,11 +376,10 @@ def hand_labels(labels: DataFrame, spelled: dict[str, str], key: str, most: int
         return values.map(lambda v: _spelling(v) if v else None)
 
     rows = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), form(F.col("subject").cast("string")).alias("form")).join(F.broadcast(table), "form")
-    each = rows.where("name is not null").groupBy("doc").agg(F.array_sort(F.collect_set("name")).alias("subjects"))
-    return each.orderBy(F.xxhash64("doc"), "doc").limit(most)
+    return rows.where("name is not null").groupBy("doc").agg(F.array_sort(F.collect_set("name")).alias("subjects"))
 
 
-def spoken_terms(sents: DataFrame, labels: DataFrame, names: list[str], said: dict[str, str], fit: np.ndarray) -> np.ndarray:
+def spoken_terms(sents: DataFrame, names: list[str], said: dict[str, str], fit: np.ndarray) -> np.ndarray:
     """Fit terms by subjects: labelled documents that hold the term, shared by their labels, and titles that do."""
     at = _place(fit)
     number = {s: i for i, s in enumerate(names)}
@@ -404,7 +403,7 @@ def spoken_terms(sents: DataFrame, labels: DataFrame, names: list[str], said: di
         for w in {stem(w) for w in _words(fold(words))}:
             if (row := at[_Buckets()[w]]) >= 0:
                 total[row, number[s]] += 1
-    got = sents.join(F.broadcast(labels), "doc").mapInArrow(count, "t long, s long, n double").groupBy("t", "s").agg(F.sum("n").alias("n")).toPandas()
+    got = sents.where("subjects is not null").mapInArrow(count, "t long, s long, n double").groupBy("t", "s").agg(F.sum("n").alias("n")).toPandas()
     np.add.at(total, (got.t.to_numpy(np.int64), got.s.to_numpy(np.int64)), got.n.to_numpy())
     return total
 
@@ -422,8 +421,9 @@ class Fitted:
 
 def fit_subjects(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame, topics: int = TOPICS, passes: int = PASSES, rounds: int = ROUNDS, least: int = 3) -> Fitted:
     names, spelled, said = _subjects(areas)
-    rows = docs.select(F.col(key), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key])
-    sents = cut(indexed(rows, key, text))
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("doc is not null and t is not null").dropDuplicates(["doc"])
+    # Both sides lie by document already: no further exchange.
+    sents = cut(indexed(rows.join(hand_labels(labels, spelled, key), "doc", "left")))
     n, buckets, held = document_counts(sents, least)
     word = (buckets < _HALF) & (held >= min(LEAST_DOCS, max(1, n))) & (held <= MOST_SHARE * n)
     order = np.lexsort((buckets, -held))
@@ -447,7 +447,7 @@ def fit_subjects(docs: DataFrame, key: str, text: str, areas: DataFrame, labels:
     bags = parted.mapInArrow(bag, "part int, at array<int>, n array<int>").persist()
     model = fit_topics(bags, n, len(fit), topics, passes)
     bags.unpersist()
-    spoken = spoken_terms(sents, hand_labels(labels, spelled, key), names, said, fit)
+    spoken = spoken_terms(sents, names, said, fit)
     shares = np.zeros((len(buckets), len(names)))
     shares[np.searchsorted(buckets, fit)] = subject_shares(model, spoken)
     return Fitted(names, sents, model, fit, spoken, buckets, refine(sents, buckets, shares, rounds))
@@ -491,14 +491,14 @@ def label_agreement(found: DataFrame, key: str, areas: DataFrame, labels: DataFr
 def topic_table(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame, **sizes) -> DataFrame:
     """topic, weight, subject (null: left out), score, top_terms: the fitted topics for inspection.
 
-    The words of the buckets are looked up in the labelled documents, titles and scopes.
+    The words of the buckets are looked up in all documents, titles and scopes.
     """
     spark = docs.sparkSession
     fitted = fit_subjects(docs, key, text, areas, labels, rounds=0, **sizes)
     schema = "topic int, weight double, subject string, score double, top_terms array<string>"
     if fitted.model is None:
         return spark.createDataFrame([], schema)
-    _, spelled, said = _subjects(areas)
+    _, _, said = _subjects(areas)
     _, top = top_terms(fitted.model)
     wanted = {int(b) for b in np.unique(fitted.fit[top])}
 
@@ -509,8 +509,8 @@ def topic_table(docs: DataFrame, key: str, text: str, areas: DataFrame, labels:
             some = [(b, w) for b, w in held.items() if b in wanted]
             yield pd.DataFrame(some, columns=["bucket", "word"])
 
-    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("doc is not null and t is not null").join(F.broadcast(hand_labels(labels, spelled, key)), "doc", "left_semi")
-    words = dict(read.select("t").mapInPandas(name, "bucket long, word string").groupBy("bucket").agg(F.min("word")).collect())
+    read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    words = dict(read.mapInPandas(name, "bucket long, word string").groupBy("bucket").agg(F.min("word")).collect())
     for w in {stem(w) for s in said.values() for w in _words(fold(s))}:
         words.setdefault(_Buckets()[w], w)
     stand, weight = map_topics(fitted.model, fitted.spoken), fitted.model.sum(axis=1) / fitted.model.sum()
