@@ -1,6 +1,6 @@
 import numpy as np
 
-from tracewell.llm.neighbours import RECALL, calibrate, exact_neighbours, fit_tree, homes, measured_recall, mutual_pairs, nearest_neighbours, route, search_block, visit
+from tracewell.llm.neighbours import RECALL, calibrate, exact_neighbours, fit_tree, homes, measured_recall, merge_best, mutual_pairs, nearest_neighbours, regions, route, search_block, visit
 
 S = "id long, grp string, vec array<float>, similarity string"
 
@@ -125,3 +125,25 @@ def test_lengths_small_groups_and_measured_recall(spark):
 def test_wanted_recall():
     """The wanted share of true neighbours is 0.995; it is no means to save disk."""
     assert RECALL == 0.995
+
+
+def test_regions_move_less_and_find_the_same(spark):
+    """Rows go once to each region of neighbouring branches; the branches compared, and so the rows found, stay."""
+    x = vectors(4000, 8)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    tree = fit_tree(x, 4000, leaf=100, branch=8)
+    tree.visits, tree.gap = 6, 4.0
+    home = np.bincount(homes(tree, unit), minlength=tree.leaves)
+    assert tree.rows.sum() == 4000 and len(tree.rows) == tree.leaves
+    region = regions(tree, 800)
+    assert set(region) == set(range(region.max() + 1)) and region.max() < tree.leaves // 3
+    assert np.bincount(region, weights=tree.rows).max() <= 800 and np.bincount(region, weights=home).sum() == 4000
+    query, to = route(tree, unit)
+    assert len(set(zip(query, region[to]))) < 0.7 * len(query)
+    alone = regions(tree, 1)
+    assert sorted(alone) == list(range(tree.leaves))
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", v.tolist(), "") for i, v in enumerate(x)], S)
+    one, many, whole = ({tuple(r) for r in nearest_neighbours(df.union(df.limit(50)), "id", "grp", "vec", leaf=100, region=n).collect()} for n in (1, 500, None))
+    assert one == many == whole and len(one) == 5 * 4000
+    got = merge_best(np.array([2, 1, 1, 1, 1]), np.array([7, 5, 4, 5, 6]), np.array([0.5, 0.9, 0.9, 0.9, 0.1]), 2)
+    assert [v.tolist() for v in got] == [[1, 1, 2], [4, 5, 7], [0.9, 0.9, 0.5]]

@@ -5,6 +5,10 @@ The upper levels of the tree are fitted on the driver from a bounded, documented
 stored in its nearest branch. A branch that turns out larger than two leaves gets its lower levels where it
 lies, fitted on its own rows, so leaves stay near ``LEAF`` rows at any size of the table.
 
+Branches whose centres lie side by side form a region of at most ``REGION_VALUES`` vector values. A row is
+moved once to each region it visits, with the list of its branches there, and its neighbours come back once
+from each region: which rows are compared depends on the branches alone, what is moved on the regions.
+
 A query walks the tree best bin first: a priority queue holds the centres met so far, the nearest is
 taken, inner nodes push their children, branches are visited. It goes on to further branches while their
 centres are within a gap of its best one. How many are looked at and how wide the gap is, is calibrated for
@@ -37,6 +41,7 @@ from tracewell.session import cut, shuffle_width
 LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_SHARE = 1 << 15, 1 << 20, 256
 LEAF, BRANCH, COPIES = 4096, 128, 16
 PROBES, MOST_PROBES, LEAF_PROBES, GROUPS, WAVE = 2048, 8192, 64, 4096, 65_536
+REGION_VALUES = 1 << 21
 RECALL = 0.995
 
 
@@ -44,14 +49,16 @@ RECALL = 0.995
 class Tree:
     """Centres of inner nodes and leaves; ``children`` holds row indices of nodes, ``leaf`` a leaf number or -1.
 
-    A query looks at ``visits`` leaves and takes those whose centre is at most ``gap`` less similar than its best.
+    ``rows`` is how many rows each leaf stands for, ``region`` the region it lies in. A query looks at ``visits`` leaves and takes those whose centre is at most ``gap`` less similar than its best.
     """
 
     centres: np.ndarray
     children: list[np.ndarray]
     leaf: np.ndarray
+    rows: np.ndarray
     visits: int = 1
     gap: float = 0.0
+    region: np.ndarray | None = None
 
     @property
     def leaves(self) -> int:
@@ -80,7 +87,7 @@ def fit_tree(sample: np.ndarray, rows: int, leaf: int = LEAF, branch: int = BRAN
     """Split until a node stands for at most ``leaf`` of the ``rows`` indexed, or for under 32 of the sample."""
     rng, share = np.random.default_rng(seed), max(1.0, rows / max(1, len(sample)))
     sample = _unit(sample).astype(np.float32)
-    centres, children, leaves = [], [], []
+    centres, children, leaves, held = [], [], [], []
     count = 0
 
     def grow(x: np.ndarray) -> int:
@@ -98,13 +105,34 @@ def fit_tree(sample: np.ndarray, rows: int, leaf: int = LEAF, branch: int = BRAN
             parts = [x[at == i] for i in range(k) if (at == i).any()]
         if len(parts) < 2:
             leaves[me] = count
+            held.append(len(x) * share)
             count += 1
         else:
             children[me] = np.array([grow(p) for p in parts])
         return me
 
     grow(sample)
-    return Tree(np.array(centres, np.float32), children, np.array(leaves))
+    return Tree(np.array(centres, np.float32), children, np.array(leaves), np.array(held))
+
+
+def regions(tree: Tree, most: float, branch: int = BRANCH, seed: int = 5) -> np.ndarray:
+    """Region of each leaf: neighbouring leaves that stand for at most ``most`` rows together, or a single one."""
+    rng = np.random.default_rng(seed)
+    centres = np.empty((tree.leaves, tree.centres.shape[1]), np.float32)
+    centres[tree.leaf[tree.leaf >= 0]] = tree.centres[tree.leaf >= 0]
+    out, count, left = np.zeros(tree.leaves, np.int64), 0, [np.arange(tree.leaves)]
+    while left:
+        mine = left.pop()
+        rows = tree.rows[mine].sum()
+        if rows <= most or len(mine) == 1:
+            out[mine] = count
+            count += 1
+            continue
+        k = int(min(branch, len(mine), max(2, np.ceil(rows / most))))
+        at = _kmeans(centres[mine], k, rng)
+        parts = [mine[at == i] for i in range(k) if (at == i).any()]
+        left += parts if len(parts) > 1 else np.array_split(mine, 2)
+    return out
 
 
 def visit(tree: Tree, x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +310,8 @@ def exact_neighbours(rows: DataFrame, probes: list, k: int) -> DataFrame:
     return found.groupBy("grp", "q").agg(F.slice(F.array_sort(F.collect_set(F.struct("s", "id"))), 1, k).alias("near"))
 
 
-def build_index(rows: DataFrame, k: int, recall: float = RECALL, sample: int | None = None, probes: int = PROBES, leaf: int = LEAF, copies: int = COPIES) -> tuple[dict[str, Tree], dict[str, list[bytes]]]:
-    """(trees by group, often stored vectors by group)."""
+def build_index(rows: DataFrame, k: int, recall: float = RECALL, sample: int | None = None, probes: int = PROBES, leaf: int = LEAF, copies: int = COPIES, region: int | None = None) -> tuple[dict[str, Tree], dict[str, list[bytes]]]:
+    """(trees by group, often stored vectors by group). region: rows of a region, if not by the length of its vectors."""
     counts = cut(rows.groupBy("grp").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
@@ -305,6 +333,7 @@ def build_index(rows: DataFrame, k: int, recall: float = RECALL, sample: int | N
             mixed = np.random.default_rng(11).permutation(len(ids))
             some, rest = mixed[: min(each, len(ids) // 4)], mixed[min(each, len(ids) // 4) :]
             trees[grp] = fit_tree(x[np.sort(rest)], large[grp], leaf)
+            trees[grp].region = regions(trees[grp], region or max(leaf, REGION_VALUES // x.shape[1]))
             probed.append((grp, ids[some], x[some]))
     probed = [p for p in probed if trees[p[0]].leaves > 1]
     if probed:
@@ -433,48 +462,69 @@ def nearest_neighbours(df: DataFrame, row_id: str, group: str, vector: str, k: i
     held = df.sparkSession.sparkContext.broadcast(trees)
 
     def scatter(batches):
-        """Each row once into its branch as indexed row, and as query to the other branches it visits."""
+        """Each row once into every region it visits, with its branches there; the branch that stores it is marked."""
         for batch in batches:
             for grp, ids, raw in _by_group(batch):
                 tree = held.value.get(grp)
                 if tree is None or tree.leaves < 2:
-                    at, to, asks = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+                    at, to, where = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
                 else:
                     at, to = route(tree, _unit(raw.astype(np.float64)).astype(np.float32))
-                    asks = np.diff(at, prepend=-1) == 0
-                # One packed row for each branch and role: no cost a row in the shuffle.
-                order = np.lexsort((asks, to))
-                at, to, asks = at[order], to[order], asks[order]
-                starts = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(asks.astype(int), prepend=-1) != 0))
-                packs = [at[a:b] for a, b in zip(starts, [*starts[1:], len(at)])]
+                    where = tree.region[to]
+                own = np.diff(at, prepend=-1) != 0
+                order = np.lexsort((at, where))
+                at, to, where = at[order], np.where(own, ~to, to)[order].astype(np.int32), where[order]
+                # One packed row for each region: no cost a row in the shuffle.
+                starts = np.flatnonzero(np.diff(where, prepend=-1) != 0)
+                packs = [(*np.unique(at[a:b], return_counts=True), to[a:b]) for a, b in zip(starts, [*starts[1:], len(at)])]
+                blobs = lambda values: pa.array([v.tobytes() for v in values], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([grp] * len(packs)), pa.array(to[starts]), pa.array(~asks[starts]),
-                        pa.array([ids[i].astype(np.int64).tobytes() for i in packs], pa.binary()), pa.array([raw[i].tobytes() for i in packs], pa.binary()),
+                        pa.array([grp] * len(packs)), pa.array(where[starts]), blobs(ids[i].astype(np.int64) for i, _, _ in packs),
+                        blobs(raw[i] for i, _, _ in packs), blobs(n.astype(np.int32) for _, n, _ in packs), blobs(t for _, _, t in packs),
                     ],
-                    ["grp", "branch", "stored", "ids", "vecs"],
+                    ["grp", "region", "ids", "vecs", "visits", "branches"],
                 )
 
     def within(table: pa.Table) -> pa.Table:
-        packs = [np.frombuffer(b, np.int64) for b in table.column("ids").to_pylist()]
-        stored = np.repeat(table.column("stored").to_numpy(), [len(p) for p in packs])
-        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(len(stored), -1)
-        ids, near, sims = search_block(x, np.concatenate(packs), stored, k, recall, leaf) if stored.any() else (np.empty(0, np.int64),) * 3
+        ids, visits, to = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("visits", np.int32), ("branches", np.int32)))
+        x = np.concatenate([np.frombuffer(b, np.float32) for b in table.column("vecs").to_pylist()]).reshape(len(ids), -1)
+        row, stored = np.repeat(np.arange(len(ids)), visits), to < 0
+        to = np.where(stored, ~to, to)
+        order = np.argsort(to, kind="stable")
+        starts = np.flatnonzero(np.diff(to[order], prepend=-1) != 0)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for a, b in zip(starts, [*starts[1:], len(to)]):
+            mine = order[a:b]
+            if stored[mine].any():
+                found.append(search_block(x[row[mine]], ids[row[mine]], stored[mine], k, recall, leaf))
+        ids, near, sims = merge_best(*(np.concatenate(c) for c in zip(*found)), k)
         starts = np.flatnonzero(np.diff(ids, prepend=np.iinfo(np.int64).min) != 0) if len(ids) else np.empty(0, np.int64)
         pairs = pa.StructArray.from_arrays([pa.array(-sims.astype(np.float64)), pa.array(near)], ["s", "n"])
         return pa.table({"id": pa.array(ids[starts]), "near": pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pairs)})
 
-    spread = rows.mapInArrow(scatter, "grp string, branch long, stored boolean, ids binary, vecs binary")
-    # A task's share does not grow with the table: a few branches each, whatever the session's shuffle width.
-    width = max(shuffle_width(df.sparkSession), sum(t.leaves for t in trees.values()) // 2)
-    local = spread.repartition(width, "grp", "branch").groupBy("grp", "branch").applyInArrow(within, "id long, near array<struct<s:double,n:long>>")
+    spread = rows.mapInArrow(scatter, "grp string, region long, ids binary, vecs binary, visits binary, branches binary")
+    # A task's share does not grow with the table: a region or two each, as hashes fall, whatever the session's shuffle width.
+    width = max(shuffle_width(df.sparkSession), 4 * sum(int(t.region.max()) + 1 for t in trees.values()))
+    local = spread.repartition(width, "grp", "region").groupBy("grp", "region").applyInArrow(within, "id long, near array<struct<s:double,n:long>>")
     best = local.groupBy("id").agg(best_of("near", k).alias("r")).select("id", F.explode("r").alias("r"))
     best = best.select("id", F.col("r.n").alias("neighbour"), (-F.col("r.s")).alias("similarity"))
     return best if spare is None else best.unionByName(spare)
 
 
+def merge_best(ids: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each id, best first; equal rows count once."""
+    order = np.lexsort((near, -sims, ids))
+    ids, near, sims = ids[order], near[order], sims[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(near) != 0) | (np.diff(sims) != 0)
+    ids, near, sims = ids[new], near[new], sims[new]
+    first = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+    return ids[first], near[first], sims[first]
+
+
 def best_of(near: str, k: int) -> Column:
-    """The k first of a row's small lists, one for each branch it visited."""
+    """The k first of a row's small lists, one for each region it visited."""
     return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(near)))), 1, k)
 
 
