@@ -1,7 +1,13 @@
+import math
+import random
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import drawings, requirements
+from tracewell.plans import drawings as plans
 
 INDEX = "drawing_no string, title string, category string, complex string, building string, floor string, source_list_page int, confidence double"
 ROWS = [
@@ -55,6 +61,74 @@ def test_layout(spark):
     assert [(r["text"], r["item_ids"]) for r in out] == [("Main panels", ["a", "b", "c"]), ("far", ["d"]), ("up", ["f"]), ("below", ["e"])]
 
 
+ITEM = "source string, page int, item_id string, text string, x double, y double, width double, height double, rotation double, font_size double, eol boolean, source_order int"
+
+
+def fitted(items):
+    """The item_ids of each line, by comparing each item with every line so far."""
+    lines = []
+    for it in sorted(items, key=lambda r: (r[5], r[4], r[8], r[11], r[2])):
+        def project(degrees):
+            c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+            corners = [(it[4] + a * it[6], it[5] + b * it[7]) for a in (0, 1) for b in (0, 1)]
+            along, across = [x * c + y * s for x, y in corners], [x * -s + y * c for x, y in corners]
+            return min(along), max(along), (min(across) + max(across)) / 2, max(across) - min(across), it
+
+        for turn, line in lines:
+            p, away = project(turn), abs(turn - it[8]) % 360
+            if min(away, 360 - away) <= 2 and abs(p[2] - sum(q[2] for q in line) / len(line)) <= max(1, 0.6 * max(q[3] for q in [p, *line])):
+                line.append(p)
+                break
+        else:
+            lines.append((it[8], [project(it[8])]))
+    out = []
+    for _, line in lines:
+        part = []
+        for p in sorted(line, key=lambda q: (q[0], q[1], q[4][11])):
+            if part and (p[0] - part[-1][1] > 2.5 * max(part[-1][4][9] or 0, p[4][9] or 0, 12) or part[-1][4][10] and part[-1][4][11] < p[4][11]):
+                out.append(part)
+                part = []
+            part.append(p)
+        out.append(part)
+    return sorted([q[4][2] for q in part] for part in out)
+
+
+def test_layout_against_all_lines(spark):
+    """Pages in pieces of 50 rows, slanted, tall and flat items, unknown font sizes."""
+    rnd, rows = random.Random(5), []
+    for page in range(40):
+        turns = rnd.choice([[0.0], [0.0, 0.5, 90.0], [0.0, 1.5, 3.0, 359.0, -1.0]])
+        for n in range(rnd.choice([1, 5, 120])):
+            at = round(rnd.uniform(0, 600), 1), round(rnd.uniform(0, 500))
+            rows.append(("s", page, f"{page}-{n}", "w", float(at[0]), float(at[1]), 30.0, rnd.choice([0.0, 10.0, 10.0, 40.0, 300.0]), rnd.choice(turns), rnd.choice([None, 10.0, 30.0]), rnd.random() < 0.2, n))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = drawings.layout_lines(spark.createDataFrame(rnd.sample(rows, len(rows)), ITEM)).select("page", "item_ids").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for page in range(40):
+        assert sorted(r["item_ids"] for r in got if r["page"] == page) == fitted([r for r in rows if r[1] == page])
+
+
+def test_layout_of_a_long_page(spark):
+    """6,000 lines of one page: an item meets only the lines near it."""
+    rows = spark.range(12_000).selectExpr(
+        "'s' AS source", "1 AS page", "format_string('i%05d', id) AS item_id", "if(id % 2 = 0, 'a', 'b') AS text", "(id % 2) * 30.0D AS x", "floor(id / 2) * 20.0D AS y",
+        "20.0D AS width", "10.0D AS height", "0.0D AS rotation", "10.0D AS font_size", "false AS eol", "CAST(id AS INT) AS source_order",
+    )
+    began = time.monotonic()
+    out = drawings.layout_lines(rows).groupBy("text").count().collect()
+    assert [tuple(r) for r in out] == [("a b", 6_000)] and time.monotonic() - began < 30
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_layout_query_keeps_pages_together(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, plans.layout_lines(spark, "/root/testdata/sf0.001").collect()))
+    found, own = rows(), drawings.layout_lines
+    monkeypatch.setattr(drawings, "layout_lines", lambda items, together: own(items))
+    assert found == rows()
+
+
 def path(*steps):
     return [{"command": c, "points": [{"x": float(x), "y": float(y)} for x, y in p]} for c, p in steps]
 

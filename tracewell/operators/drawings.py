@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,65 +150,167 @@ def map_pages(candidates: DataFrame, index: DataFrame) -> DataFrame:
 _LAYOUT = "source string, page int, line_id string, text string, item_ids array<string>, x double, y double, width double, height double, rotation double"
 
 
-def layout_lines(items: DataFrame) -> DataFrame:
+def _first_fit(page, box, turns, rotation, centre, thick) -> tuple[list[int], list[int]]:
+    """The line of each item, and the first item of each line, lines numbered as they begin; items of a page follow each other.
+
+    box: the lists of x, y, x2, y2 of the items; rotation: its place in turns, (degrees, cosine, sine). An item looks only at
+    the cells of lines, by mean centre and size of tolerance, that can reach it; each is compared exactly.
+    """
+    lines, first, here, (left, top, right, bottom) = [], [], None, box
+    total, count, mean, reach, levels_of, places = [], [], [], [], [], []
+    floor = math.floor
+    for i, code in enumerate(rotation):
+        if page[i] != here:
+            here, levels, near = page[i], {}, {}
+        if code not in near:
+            near[code] = [k for k in levels if not _turned(turns[k][0], turns[code][0])]
+        best = -1
+        for k in near[code]:
+            if k == code:
+                c, t = centre[i], thick[i]
+            else:
+                _, cos, sin = turns[k]
+                u, u2, v, v2 = left[i] * -sin, right[i] * -sin, top[i] * cos, bottom[i] * cos
+                low, high = (u if u < u2 else u2) + (v if v < v2 else v2), (u2 if u < u2 else u) + (v2 if v < v2 else v)
+                c, t = (low + high) / 2, high - low
+            own = 0.6 * t if t > 2 else max(1.0, 0.6 * t)
+            for size, cells in levels[k].items():
+                r = (size if size > own else own) * 1.000001 + abs(c) * 1e-15
+                # Lines without a finite place, and all lines of a level for a very wide item, are met one by one.
+                few = size and c - c == 0 and 2 * r < size * (len(cells) + 3)
+                for cell in range(floor((c - r) / size), floor((c + r) / size) + 1) if few else cells:
+                    if cell in cells:
+                        for n in cells[cell]:
+                            if (best < 0 or n < best) and abs(c - mean[n]) <= (own if own > reach[n] else reach[n]):
+                                best, at, wide = n, c, own
+        if best < 0:
+            best, at, wide = len(first), centre[i], max(1.0, 0.6 * thick[i])
+            first.append(i), total.append(0), count.append(0), mean.append(0.0), reach.append(0.0), places.append(None)
+            if code not in levels:
+                levels[code] = {}
+                for k, codes in near.items():
+                    if not _turned(turns[k][0], turns[code][0]):
+                        codes.append(code)
+            levels_of.append(levels[code])
+        lines.append(best)
+        total[best] += at
+        count[best] += 1
+        mean[best] = middle = total[best] / count[best]
+        old, cell = place = places[best] or (None, None)
+        size = old
+        if wide > reach[best]:
+            reach[best] = wide
+            size = 2.0 ** math.frexp(wide)[1] if wide < 1e300 else 0.0
+        if middle - middle != 0:
+            size = 0.0
+        now = size, floor(middle / size) if size else 0
+        if now != place:
+            if old is not None:
+                cells = levels_of[best][old]
+                cells[cell].remove(best)
+                if not cells[cell]:
+                    del cells[cell]
+            places[best] = now
+            levels_of[best].setdefault(size, {}).setdefault(now[1], []).append(best)
+    return lines, first
+
+
+def _turned(a: float, b: float) -> bool:
+    turn = abs(a - b) % 360
+    return min(turn, 360 - turn) > 2
+
+
+def _page_lines(items: pa.Table) -> pa.Table:
+    """The lines of whole pages, items of a page one after the other."""
+    scope = _scopes(items)
+    numbers = lambda t, c: t[c].to_numpy(zero_copy_only=False).astype(float)
+    ordered = lambda keys: pc.sort_indices(pa.table({str(n): k for n, k in enumerate(keys)}), [(str(n), "ascending") for n in range(len(keys))]).to_numpy()
+    order = ordered([scope, *(items[c] for c in ("y", "x", "rotation", "source_order", "item_id"))])
+    items, scope = items.take(order), scope[order]
+    x, y, rotation = (numbers(items, c) for c in ("x", "y", "rotation"))
+    x2, y2 = x + numbers(items, "width"), y + numbers(items, "height")
+    degrees, code = np.unique(rotation, return_inverse=True)
+    cos, sin = (np.array([f(math.radians(d)) if math.isfinite(d) else math.nan for d in degrees.tolist()]) for f in (math.cos, math.sin))
+
+    def extent(a, b):
+        u, u2, v, v2 = x * a, x2 * a, y * b, y2 * b
+        return np.minimum(u, u2) + np.minimum(v, v2), np.maximum(u, u2) + np.maximum(v, v2)
+
+    low, high = extent(-sin[code], cos[code])
+    box, turns = [a.tolist() for a in (x, y, x2, y2)], list(zip(degrees.tolist(), cos.tolist(), sin.tolist()))
+    line, first = (np.array(a) for a in _first_fit(scope.tolist(), box, turns, code.tolist(), ((low + high) / 2).tolist(), (high - low).tolist()))
+
+    way = code[first][line]
+    low, high = extent(cos[way], sin[way])
+    order = ordered([line, low, high, items["source_order"], items["item_id"]])
+    items, line, low, high, scope, way = items.take(order), line[order], low[order], high[order], scope[order], way[order]
+    x, y, x2, y2 = x[order], y[order], x2[order], y2[order]
+    at, font, eol = numbers(items, "source_order"), items["font_size"].fill_null(0.0).to_numpy(), items["eol"].fill_null(False).to_numpy()
+    gap = low[1:] - high[:-1]
+    begins = np.r_[True, (line[1:] != line[:-1]) | (gap > 2.5 * np.maximum(np.maximum(font[1:], font[:-1]), 12)) | (eol[:-1] & (at[:-1] < at[1:]))]
+    starts = np.flatnonzero(begins)
+    ends = np.r_[starts, len(begins)]
+    # The texts of a line lie side by side in the buffer: its text is the stretch from its first to its last.
+    near = begins | np.r_[True, gap <= 0.5]
+    pieces = pc.binary_join_element_wise(pa.array([" ", ""], "large_string").take(pa.array(near.astype(np.int8))), items["text"].fill_null("").cast("large_string").combine_chunks(), pa.scalar("", "large_string"))
+    _, offsets, data = pieces.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[pieces.offset :][ends]
+    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), data or pa.py_buffer(b"")).cast("string")
+    ids = pa.ListArray.from_arrays(pa.array(ends, "int32"), items["item_id"].combine_chunks())
+    left, top = np.minimum.reduceat(x, starts), np.minimum.reduceat(y, starts)
+    width, height = np.maximum.reduceat(x2, starts) - left, np.maximum.reduceat(y2, starts) - top
+    scope, turn = scope[starts], degrees[way[starts]]
+    order = ordered([scope, top, left, turn, text, items["source_order"].take(starts)])
+    scope = scope[order]
+    number = np.arange(len(order)) - np.searchsorted(scope, scope) + 1
+    line_id = pc.binary_join_element_wise("line-", pc.utf8_lpad(pa.array(number).cast("string"), 6, "0"), "")
+    taken = items.select(["source", "page"]).take(starts[order])
+    columns = [taken["source"], taken["page"], line_id, text.take(pa.array(order)), ids.take(pa.array(order)), *(a[order] for a in (left, top, width, height, turn))]
+    return pa.table(columns, ["source", "page", "line_id", "text", "item_ids", "x", "y", "width", "height", "rotation"])
+
+
+def _scopes(items: pa.Table) -> np.ndarray:
+    """The number of each row's page; a page begins where source or page differ from the row before."""
+    codes = [items[c].combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in ("source", "page")]
+    return np.cumsum(np.r_[False, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+
+
+def layout_lines(items: DataFrame, together: bool = False) -> DataFrame:
     """Lines of rotated text items: greedy first fit into lines of the same direction and height.
 
     items: source, page, item_id, text, x, y, width, height, rotation, font_size, eol, source_order. An item
     joins the first line within 2 degrees whose mean centre lies within 0.6 of the larger thickness; lines
-    are cut at wide gaps and explicit ends. The result depends on the order of items, page by page.
+    are cut at wide gaps and explicit ends. The result depends on the order of items, page by page; batches
+    hold many pages, and a page must fit into one Python worker. together: the caller's plan already keeps
+    all items of a page in one partition, one after the other, so they are neither moved nor sorted.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        pdf = pdf.sort_values(["y", "x", "rotation", "source_order", "item_id"])
-        for it in pdf.itertuples():
-            corners = np.array([(it.x + a * it.width, it.y + b * it.height) for a in (0, 1) for b in (0, 1)])
-
-            def project(rotation: float) -> tuple[float, float, float, float]:
-                r = math.radians(rotation)
-                along = corners @ (math.cos(r), math.sin(r))
-                across = corners @ (-math.sin(r), math.cos(r))
-                return along.min(), along.max(), (across.min() + across.max()) / 2, across.max() - across.min()
-
-            for line in lines:
-                turn = abs(line["rotation"] - it.rotation) % 360
-                if min(turn, 360 - turn) > 2:
-                    continue
-                got = project(line["rotation"])
-                if abs(got[2] - np.mean([p[2] for p, _ in line["items"]])) <= max(1.0, 0.6 * max(got[3], *[p[3] for p, _ in line["items"]])):
-                    line["items"].append((got, it))
-                    break
-            else:
-                lines.append({"rotation": it.rotation, "items": [(project(it.rotation), it)]})
-        rows = []
-        for line in lines:
-            part: list = []
-            ordered = sorted(line["items"], key=lambda t: (t[0][0], t[0][1], t[1].source_order, t[1].item_id))
-            for n, (p, it) in enumerate(ordered):
-                if part and p[0] - part[-1][0][1] > 2.5 * max(part[-1][1].font_size or 0, it.font_size or 0, 12):
-                    rows.append((line["rotation"], part))
-                    part = []
-                part.append((p, it))
-                after = ordered[n + 1][1] if n + 1 < len(ordered) else None
-                if it.eol and (after is None or it.source_order < after.source_order):
-                    rows.append((line["rotation"], part))
-                    part = []
-            if part:
-                rows.append((line["rotation"], part))
-        out = []
-        for rotation, part in rows:
-            text = "".join(("" if n == 0 or p[0] - part[n - 1][0][1] <= 0.5 else " ") + (it.text or "") for n, (p, it) in enumerate(part))
-            x, y = min(it.x for _, it in part), min(it.y for _, it in part)
-            x2, y2 = max(it.x + it.width for _, it in part), max(it.y + it.height for _, it in part)
-            out.append((y, x, rotation, text, part[0][1].source_order, [it.item_id for _, it in part], x2 - x, y2 - y))
-        out.sort(key=lambda r: r[:5])
-        source, page = pdf.source.iloc[0], pdf.page.iloc[0]
-        return pd.DataFrame(
-            [(source, page, f"line-{n + 1:06d}", r[3], r[5], r[1], r[0], r[6], r[7], r[2]) for n, r in enumerate(out)],
-            columns=["source", "page", "line_id", "text", "item_ids", "x", "y", "width", "height", "rotation"],
-        )
-
-    return items.groupBy("source", "page").applyInPandas(run, _LAYOUT)
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [(batch["source"][n].as_py(), batch["page"][n].as_py()) for n in (0, batch.num_rows - 1)]
+            if held and key != keys[0]:
+                yield from _page_lines(pa.Table.from_batches(held).combine_chunks()).to_batches(10_000)
+                held = []
+            # The last page may go on in the next batch.
+            scope = _scopes(pa.Table.from_batches([batch]))
+            last = int(np.searchsorted(scope, scope[-1]))
+            if last:
+                yield from _page_lines(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()).to_batches(10_000)
+                held = []
+            held.append(batch.slice(last))
+            key = keys[1]
+        if held:
+            yield from _page_lines(pa.Table.from_batches(held).combine_chunks()).to_batches(10_000)
+
+    kinds = {"source": "string", "page": "int", "item_id": "string", "text": "string", "x": "double", "y": "double", "width": "double", "height": "double", "rotation": "double", "font_size": "double", "eol": "boolean"}
+    rows = items.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "source_order")
+    if not together:
+        # Rows of a page share the hash, a number that sorts faster than text.
+        rows = rows.repartition("source", "page").withColumn("_page", F.xxhash64("source", "page")).sortWithinPartitions("_page", "source", "page").drop("_page")
+    return rows.mapInArrow(run, _LAYOUT)
 
 
 def _structure(commands) -> tuple[int, bool, bool, int, bool]:

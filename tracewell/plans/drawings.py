@@ -87,7 +87,7 @@ def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of document words: the first words of a line side by side, a far one, one turned by a right angle."""
-    words = F.split("str", " ")
+    words = F.split("str", " ", 7)  # six are used; what follows them stays one text
     rows = _items(spark, sf_dir).select("source", "page", "source_order", words.alias("w"), (-F.col("y")).alias("y"))
     word = lambda n, x, dy, turn, end, k: F.when(
         F.size("w") > n, F.struct(F.lit(k).alias("k"), F.col("w")[n].alias("text"), F.lit(x).alias("x"), (F.col("y") + dy).alias("y"), F.lit(40.0).alias("width"), F.lit(10.0).alias("height"), F.lit(turn).alias("rotation"), F.lit(end).alias("eol"))
@@ -98,7 +98,8 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", "page", F.concat(F.lit("i"), F.lpad((F.col("at") * 8 + F.col("k")).cast("string"), 6, "0")).alias("item_id"), "text", "x", "y", "width", "height", "rotation", F.lit(10.0).alias("font_size"), "eol",
         (F.col("at") * 8 + F.col("k")).cast("int").alias("source_order"),
     )
-    return drawings.layout_lines(items).select("source", "page", "line_id", "text", F.round("rotation", 3).alias("rotation"), F.size("item_ids").alias("n_items"))
+    # Each document is one row of the step that drops duplicates, so its words lie together.
+    return drawings.layout_lines(items, together=True).select("source", "page", "line_id", "text", F.round("rotation", 3).alias("rotation"), F.size("item_ids").alias("n_items"))
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
